@@ -23,7 +23,7 @@ from strataflow.llm import bytesops as B
 
 TRAIN_ROWS = 4000
 BUCKETS = 1 << 13
-KEEP = 0.5
+KEEP = 0.3
 SYMBOLS = np.zeros(256, dtype=bool)
 SYMBOLS[[ord(c) for c in "#*$%&|<>"]] = True
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -37,7 +37,7 @@ def _repeats(doc: np.ndarray, h: np.ndarray) -> np.ndarray:
         return out
     # 12 bits of the text's number within the chunk above 52 bits of the hash
     key = (doc.astype(B.U64) << B.U64(52)) | (h >> B.U64(12))
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     k = key[order]
     same = k[1:] == k[:-1]
     later = np.concatenate([[False], same])
