@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataflow.llm import langid, mixing, pieces, quality, scratch, secrets, sharding
+from strataflow.llm import jaccard, langid, media, mixing, pieces, quality, scratch, secrets, sharding, warc
 
 TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
 
@@ -25,6 +25,21 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_media_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    stored = scratch.cut(media.store(docs.select(media.payload(F.col("text")).alias("payload"))), "media")
+    features = scratch.cut(media.read_back(stored), "features")
+    pages = media.documents_as_pages(docs)
+    sequence = media.resolve(media.interleave(pages, "doc_id").where("kind = 'media'"), features)
+    return sequence.select(
+        "doc_id", F.col("caption").cast("long").alias("n_bytes"), "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position"
+    )
+
+
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(_table(spark, sf_dir, "documents"))
+
+
 def op4_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(_table(spark, sf_dir, "documents"), 8)
 
@@ -33,6 +48,11 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op6_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    written = scratch.cut(warc.archives(warc.resolve(_table(spark, sf_dir, "pages"))), "warc")
+    return warc.read(written)
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language(_table(spark, sf_dir, "documents"))
 
@@ -47,6 +67,6 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secret_scan, op4_jump_sharding, op5_quality_rules, op7_language_id, op9_source_mixing, op10_sentencepiece)
+    f.__name__: f for f in (op1_secret_scan, op2_media_sequences, op3_jaccard_join, op4_jump_sharding, op5_quality_rules, op6_warc_revisits, op7_language_id, op9_source_mixing, op10_sentencepiece)
 }
 ORACLES: dict[str, str] = {}
