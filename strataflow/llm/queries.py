@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataflow.llm import jaccard, langid, media, mixing, pieces, quality, scratch, secrets, sharding, warc
+from strataflow.llm import jaccard, langid, media, mixing, pieces, quality, scratch, secrets, sharding, suffixes, warc
 
 TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
 
@@ -57,6 +57,10 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language(_table(spark, sf_dir, "documents"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.dedup(_table(spark, sf_dir, "documents"))
+
+
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     sized = scratch.cut(mixing.sized(_table(spark, sf_dir, "documents")), "sizes")
     return mixing.mix(sized).select("doc_id", "size", "source_size", "target", "taken")
@@ -67,6 +71,10 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secret_scan, op2_media_sequences, op3_jaccard_join, op4_jump_sharding, op5_quality_rules, op6_warc_revisits, op7_language_id, op9_source_mixing, op10_sentencepiece)
-}
+    f.__name__: f
+    for f in (
+        op1_secret_scan, op2_media_sequences, op3_jaccard_join, op4_jump_sharding, op5_quality_rules,
+        op6_warc_revisits, op7_language_id, op8_suffix_dedup, op9_source_mixing, op10_sentencepiece,
+    )
+}
 ORACLES: dict[str, str] = {}
