@@ -72,21 +72,23 @@ class Table:
         self.keys, self.values = keys[order], values[order]
         if len(np.unique(self.keys)) != len(keys):
             raise ValueError("hashes of two pieces are equal")
-        self.bits = U64(64 - max(8, int(len(keys)).bit_length() + 2))
+        self.bits = U64(64 - max(8, int(len(keys)).bit_length() + 3))
         slots = np.arange(1 << int(64 - int(self.bits)), dtype=U64) << self.bits
         self.first = np.append(np.searchsorted(self.keys, slots), len(keys)).astype(np.int32)
-        self.most = int(np.diff(self.first).max()) if len(keys) else 0
-        self.padded = np.append(self.keys, np.zeros(self.most + 1, dtype=U64))
+        self.full = np.diff(self.first) > 0
 
     def get(self, keys: np.ndarray) -> np.ndarray:
         """Values; -1 where a key is absent."""
         out = np.full(len(keys), -1, dtype=np.int64)
         slot = (keys >> self.bits).astype(np.int64)
-        at, end = self.first[slot], self.first[slot + 1]
-        for _ in range(self.most):
-            hit = (at < end) & (self.padded[at] == keys)
-            out[hit] = self.values[at[hit]]
+        live = np.flatnonzero(self.full[slot])
+        at, end, wanted = self.first[slot[live]], self.first[slot[live] + 1], keys[live]
+        while len(live):
+            hit = self.keys[at] == wanted
+            out[live[hit]] = self.values[at[hit]]
             at = at + 1
+            more = ~hit & (at < end)
+            live, at, end, wanted = live[more], at[more], end[more], wanted[more]
         return out
 
 
@@ -103,7 +105,7 @@ class Codec:
         self.longest = max(len(p) for _, p, _ in normal)
         self.score = np.array([s for _, s, _ in model["pieces"]], dtype=np.float64)
         self.floor = self.score[[i for i, _, _ in normal]].min() - 10.0
-        self.cache: dict[str, dict[str, np.ndarray]] = {"": {}, SPACE: {}}
+        self.cache: dict[str, tuple[dict[str, bytes], dict[str, bytes]]] = {"": ({}, {}), SPACE: ({}, {})}
         if model["bpe"]:
             normal = self._merges(normal)
         keys, ids = [], []
@@ -174,26 +176,29 @@ class Codec:
         total = np.full((size + 1, n), -np.inf)
         total[0] = 0.0
         for end in range(1, size + 1):
+            width = min(end, self.longest)
             h = np.full(n, 0x243F6A8885A308D3, dtype=U64)
-            for start in range(end - 1, max(-1, end - 1 - self.longest), -1):
-                h = _extend(h, codes[:, start])
+            hashes = np.empty((width, n), dtype=U64)
+            for k in range(width):  # row k: the substrings of k + 1 characters
+                h = _extend(h, codes[:, end - 1 - k])
                 h ^= h >> U64(29)
-                piece = self.table.get(h)
-                rows = np.flatnonzero((piece >= 0) & np.isfinite(total[start]))
-                if self.model["bpe"] and start and len(rows):
-                    before = last[start, rows]
-                    inner = before >= 0
-                    ok = np.ones(len(rows), dtype=bool)
-                    ok[inner] = self.unmerged(before[inner], piece[rows[inner]])
-                    rows = rows[ok]
-                if len(rows):
-                    gain = total[start, rows] + (end - start if self.model["bpe"] else self.score[piece[rows]])
-                    better = gain > total[end, rows]
-                    rows, gain = rows[better], gain[better]
-                    total[end, rows], last[end, rows], back[end, rows] = gain, piece[rows], end - start
-                if start == end - 1:
-                    lone = np.flatnonzero(piece < 0)
-                    total[end, lone], last[end, lone], back[end, lone] = total[start, lone] + self.floor, -1 - codes[lone, start], 1
+                hashes[k] = h
+            piece = self.table.get(hashes.ravel()).reshape(width, n)
+            lone = np.flatnonzero(piece[0] < 0)
+            k, row = np.nonzero(piece >= 0)
+            start, found = end - 1 - k, piece[k, row]
+            ok = total[start, row] > -np.inf
+            if self.model["bpe"]:
+                before = np.where(start > 0, last[start, row], -1)
+                test = np.flatnonzero(ok & (before >= 0))
+                ok[test] = self.unmerged(before[test], found[test])
+            k, row, start, found = k[ok], row[ok], start[ok], found[ok]
+            gain = total[start, row] + (k + 1 if self.model["bpe"] else self.score[found])
+            total[end, lone] = total[end - 1, lone] + self.floor
+            last[end, lone], back[end, lone] = -1 - codes[lone, end - 1], 1
+            np.maximum.at(total[end], row, gain)
+            best = gain >= total[end, row]
+            last[end, row[best]], back[end, row[best]] = found[best], k[best] + 1
         out = np.zeros((size, n), dtype=np.int64)
         at, count = np.full(n, size), np.zeros(n, dtype=np.int64)
         rows = np.arange(n)
@@ -218,12 +223,13 @@ class Codec:
     def _fallback(self, char: str) -> list[int]:
         return self.byte[list(char.encode("utf-8", "surrogatepass"))].tolist()
 
-    def encode_words(self, words: list[str]) -> list[np.ndarray]:
-        out: list[np.ndarray] = [np.zeros(0, np.int32)] * len(words)
+    def encode_words(self, words: list[str]) -> list[bytes]:
+        """Ids of each word, as little-endian 32-bit integers."""
+        out = [b""] * len(words)
         by_size: dict[int, list[int]] = {}
         for i, w in enumerate(words):
             if self.model["bpe"] and w.startswith(SPACE * 2):
-                out[i] = np.array(self._merged(w), dtype=np.int32)
+                out[i] = np.array(self._merged(w), dtype="<i4").tobytes()
             else:
                 by_size.setdefault(len(w), []).append(i)
         for size, members in by_size.items():
@@ -232,12 +238,16 @@ class Codec:
                 part = members[k : k + step]
                 codes = np.frombuffer("".join(words[i] for i in part).encode("utf-32-le"), dtype=np.uint32).reshape(len(part), size).astype(np.int64)
                 pieces, count = self._best(codes)
-                odd = (pieces < 0).any(axis=1)
-                for r, i in enumerate(part):
-                    ids = pieces[r, : count[r]][::-1]
-                    if odd[r]:
-                        ids = np.array([y for x in ids.tolist() for y in ([x] if x >= 0 else self._fallback(chr(-1 - x)))])
-                    out[i] = ids.astype(np.int32)
+                used = np.arange(size)[::-1] < count[:, None]
+                flat = pieces[:, ::-1][used]
+                blob, ends = flat.astype("<i4").tobytes(), (np.cumsum(count) * 4).tolist()
+                begin = 0
+                for i, end in zip(part, ends):
+                    out[i] = blob[begin:end]
+                    begin = end
+                for r in np.flatnonzero((pieces < 0).any(axis=1)):
+                    ids = [y for x in pieces[r, : count[r]][::-1].tolist() for y in ([x] if x >= 0 else self._fallback(chr(-1 - x)))]
+                    out[part[r]] = np.array(ids, dtype="<i4").tobytes()
         return out
 
     def _split(self, text: str | None) -> tuple[str, list[str]]:
@@ -251,13 +261,21 @@ class Codec:
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text."""
         split = [self._split(t) for t in texts]
-        if sum(map(len, self.cache.values())) > CACHE_WORDS:
-            self.cache = {"": {}, SPACE: {}}
-        for front, known in self.cache.items():
-            unseen = list({w: None for f, words in split if f == front for w in words if w not in known})
-            known.update(zip(unseen, self.encode_words([front + w for w in unseen])))
-        none = [np.zeros(0, dtype=np.int32)]
-        return [np.concatenate([self.cache[front][w] for w in words] or none) for front, words in split]
+        out: list[np.ndarray | None] = [None] * len(texts)
+        for front in ("", SPACE):
+            young, old = self.cache[front]
+            if len(young) > CACHE_WORDS:
+                young, old = {}, young
+                self.cache[front] = young, old
+            mine = [i for i, (f, _) in enumerate(split) if f == front]
+            wanted = {w for i in mine for w in split[i][1]}.difference(young)
+            known = wanted.intersection(old)
+            young.update((w, old[w]) for w in known)
+            unseen = list(wanted.difference(known))
+            young.update(zip(unseen, self.encode_words([front + w for w in unseen])))
+            for i in mine:
+                out[i] = np.frombuffer(b"".join([young[w] for w in split[i][1]]), dtype="<i4")
+        return out
 
     def decode(self, ids: list[np.ndarray]) -> list[str]:
         """Texts of the ids; invalid byte sequences become U+FFFD."""
