@@ -200,7 +200,7 @@ class Compiler:
                 elif isinstance(e, A.Var):
                     if e.name in s.nodes | s.edges | s.paths:
                         var = e.name
-                    elif s.tables and e.name not in aliases:
+                    elif s.tables and (e.name not in aliases or any(e.name in df.columns for df in s.tables.values())):
                         var, prop = s.bare(e.name).var, e.name
                     elif not s.tables and e.name not in aliases:
                         raise QueryError(f"unknown name {e.name}")

@@ -6,10 +6,12 @@ local one is used. A written table survives the loss of executors.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def folder(spark: SparkSession) -> str:
@@ -24,9 +26,27 @@ def write(df: DataFrame, name: str) -> str:
     return path
 
 
-def cut(df: DataFrame, name: str = "step") -> DataFrame:
-    """The same rows, read back from a written table."""
-    return df.sparkSession.read.schema(df.schema).parquet(write(df, name))
+def cut(df: DataFrame, name: str = "step", heavy: bool = False) -> DataFrame:
+    """The same rows, read back from a written table; ``heavy`` also gives back the shuffle files behind it."""
+    out = df.sparkSession.read.schema(df.schema).parquet(write(df, name))
+    if heavy:
+        release(df.sparkSession)
+    return out
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished jobs: it does so once the driver's garbage is collected,
+    on the Python side, which holds plans in reference cycles, and then in the JVM."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def broadcast_if_small(df: DataFrame, rows: int = 1 << 18) -> DataFrame:
+    """``df`` with a broadcast hint when it is counted to have few rows; otherwise as it is, for a shuffled join.
+
+    For narrow tables that are cheap to count, such as written ones.
+    """
+    return F.broadcast(df) if df.count() <= rows else df
 
 
 def remove(spark: SparkSession, path: str) -> None:
