@@ -1,35 +1,5 @@
-"""Intermediate tables in the folder that all executors share.
+"""The shared scratch folder, under the name that this subpackage uses."""
 
-A written table cuts lineage and survives the loss of executors. The folder is the session's
-``spark.checkpoint.dir``; only where that is unset (tests, notebooks) a local one is used.
-"""
+from strataflow.shared import broadcast_if_small, cut, folder, release, remove, write
 
-from __future__ import annotations
-
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    return (base or f"{tempfile.gettempdir()}/strataflow-shared").rstrip("/")
-
-
-def write(df: DataFrame, name: str) -> str:
-    """Write ``df`` as Parquet to a fresh path in the shared folder and return the path."""
-    path = f"{folder(df.sparkSession)}/strataflow/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return path
-
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """The same rows, read back from a written table."""
-    return df.sparkSession.read.schema(df.schema).parquet(write(df, name))
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a table that no later step reads."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+__all__ = ["broadcast_if_small", "cut", "folder", "release", "remove", "write"]

@@ -25,51 +25,59 @@ shorter than LENGTH lose nothing. Extra columns are not read.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
+from strataflow.llm import bitmap, scratch
 from strataflow.llm import bytesops as B
-from strataflow.llm import scratch
 
 LENGTH, GRAM = 100, 24
 SPAN = LENGTH - GRAM + 1
 FREQUENT, LOCAL, LIST = 1 << 14, 1 << 22, 4096
-SHARD_BYTES = 1 << 22
+SHARD_BYTES = 1 << 20
 NULL_ID = -(1 << 63)
 
 
 # ---------------------------------------------------------------- anchors
 
 
+def _words(data: np.ndarray) -> np.ndarray:
+    """The 8 bytes that begin at each position as one number; zeros follow the end."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ascontiguousarray(np.lib.stride_tricks.as_strided(padded, (len(data), 8), (1, 1))).view("<u8").ravel()
+
+
 def minimizers(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(window, position of its minimizer) for all windows within texts laid out with
-    ``starts``, and the hash of the GRAM bytes at every position."""
+    ``starts``, and the hash of the GRAM bytes at every position. Hashes only group; bytes decide later."""
     n = len(data)
     if n < LENGTH + 1:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, B.U64)
-    prefix = B.prefix_hashes(data)
-    at = np.arange(n - GRAM + 1)
-    grams = B.mix((prefix[GRAM:] - prefix[:-GRAM]) * B.powers(n + 1, inverse=True)[: len(at)])
-    del prefix
+    words = _words(data)
+    m = n - GRAM + 1
+    grams = words[:m] * B.STEPS[0]
+    grams ^= words[8 : m + 8] * B.STEPS[1]
+    grams ^= words[16 : m + 16] * B.STEPS[2]
+    grams ^= grams >> B.U64(31)
+    grams *= B.STEPS[3]
     bits = int(n).bit_length()
-    least = (grams >> B.U64(bits) << B.U64(bits)) | at.astype(B.U64)
+    least = grams & B.U64((1 << 64) - (1 << bits))
+    least |= np.arange(m, dtype=B.U64)
     width = 1
     while width * 2 <= SPAN:
         least = np.minimum(least[:-width], least[width:])
         width *= 2
     rest = SPAN - width
     least = np.minimum(least[: len(least) - rest], least[rest:]) if rest else least
-    inside = np.zeros(len(least), dtype=bool)
-    length = np.diff(starts) - 1
-    edge = np.zeros(len(least) + 1, dtype=np.int32)
-    long = length >= LENGTH
-    np.add.at(edge, starts[:-1][long], 1)
-    np.add.at(edge, starts[:-1][long] + length[long] - LENGTH + 1, -1)
-    inside = np.cumsum(edge[:-1]) > 0
+    inside = np.ones(len(least), dtype=bool)
+    for s, e in zip(starts[:-1].tolist(), starts[1:].tolist()):  # a text ends a byte before the next begins
+        inside[max(s, e - LENGTH) : e] = False
     window = np.flatnonzero(inside)
     return window, (least[window] & B.U64((1 << bits) - 1)).astype(np.int64), grams
 
@@ -101,7 +109,7 @@ def _fresh(texts: list[bytes], seen: set[bytes]) -> list[bytes]:
 
 def _anchors(texts: list[bytes]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
     """(low, high, text index, anchor hash, times) chunk by chunk; one row per text and hash."""
-    for low, high in B.chunks(texts):
+    for low, high in B.chunks(texts, 1 << 16):
         data, starts = B.layout(texts[low:high])
         window, place, grams = minimizers(data, starts)
         if not len(window):
@@ -154,7 +162,18 @@ def _anchor_rows(shared):
                 if len(hot):
                     for i in np.flatnonzero(hot[np.minimum(np.searchsorted(hot, h), len(hot) - 1)] == h):
                         salt[i] = 1 + hash((int(ids[low + doc[i]]), int(marks[low + doc[i]]))) % shared.value[int(h[i])]
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(salt), pa.array(ids[low + doc]), pa.array(marks[low + doc]), pa.array(times > 1)], ["h", "salt", "doc", "mark", "twice"])
+                flags = salt.astype(np.int64) * 2 + (times > 1)
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(ids[low + doc]), pa.array(marks[low + doc]), pa.array(flags)], ["h", "doc", "mark", "flags"])
+
+    return run
+
+
+def _possible(bits):
+    """Rows whose ids may be in the bitmap."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(bitmap.contains(bits.value, np.asarray(batch.column("doc")))))
 
     return run
 
@@ -163,27 +182,45 @@ def _anchor_rows(shared):
 
 
 def _segment_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """PIECE rows of documents with their shared anchors: segments, and spans settled on the spot."""
+    """PIECE rows of documents with their shared anchors: segments, and spans settled on the spot.
+
+    A segment that the task has sent for an earlier start is not sent again: its windows are later ones.
+    """
+    sent: dict[bytes, tuple[int, int, int]] = {}
+    held = 0
     for batch in batches:
         rows: list[tuple] = []
-        for doc, mark, text, anchors in zip(*(batch.column(c).to_pylist() for c in ("doc", "mark", "text", "anchors"))):
+        anchors = batch.column("anchors")
+        offsets = anchors.offsets.to_numpy()
+        hashes, flags = (anchors.values.field(c).to_numpy() for c in ("h", "flags"))
+        for i, (doc, mark, text) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("doc", "mark", "text")))):
             raw = text.encode()
             data, starts = B.layout([raw])
             window, place, grams = minimizers(data, starts)
-            salts = {a["h"]: a["salt"] for a in anchors}
+            mine = slice(offsets[i] - offsets[0], offsets[i + 1] - offsets[0])
+            salts = dict(zip(hashes[mine].tolist(), (flags[mine] >> 1).tolist()))
             first = _runs(window, place)
             h = grams[place[first]].view(np.int64)
             begin = window[first]
             end = window[np.append(first[1:], len(window)) - 1] + 1 if len(first) else begin
-            own = np.flatnonzero(np.isin(h, np.fromiter(salts, dtype=np.int64, count=len(salts))))
-            seen: set[bytes] = set()
+            own = np.flatnonzero(np.isin(h, hashes[mine]))
+            late: list[list[int]] = []
             for x, s, e in zip(h[own].tolist(), begin[own].tolist(), end[own].tolist()):
                 segment = raw[s : e - 1 + LENGTH]
-                if segment in seen:
-                    rows.append((0, s * 0x9E37 + doc & 0xFFFFFF, 0, doc, mark, s, e, None))
-                else:
-                    seen.add(segment)
-                    rows.append((1, x, salts[x], doc, mark, s, e, segment))
+                have = sent.get(segment)
+                if have is not None and have < (doc, mark, s):
+                    if late and late[-1][1] == s:
+                        late[-1][1] = e
+                    else:
+                        late.append([s, e])
+                    continue
+                if held > 1 << 26:  # memory bound; sending a segment again is harmless
+                    sent.clear()
+                    held = 0
+                sent[segment] = doc, mark, s
+                held += len(segment) + 200
+                rows.append((1, x, salts[x], doc, mark, s, e, segment))
+            rows += [(0, s * 0x9E37 + doc & 0xFFFFFF, 0, doc, mark, s, e, None) for s, e in late]
             if len(rows) > 20000:
                 yield _pieces(rows)
                 rows = []
@@ -211,10 +248,11 @@ def suffix_array(codes: np.ndarray, left: np.ndarray) -> np.ndarray:
     ...; a resolved suffix is never touched again.
     """
     n = len(codes)
-    key = np.zeros(n, dtype=np.int64)
-    padded = np.append(codes.astype(np.int64) + 1, np.zeros(7, np.int64))
-    for j in range(7):
-        key = (key << 9) | np.where(left > j, padded[j : j + n], 0)
+    # 7 characters, big end first, and below them how many the string still has: a prefix sorts first
+    key = _words(codes).byteswap() >> B.U64(8) << B.U64(8)
+    near = np.flatnonzero(left < 7)
+    key[near] = key[near] >> (64 - 8 * left[near]).astype(B.U64) << (64 - 8 * left[near]).astype(B.U64)
+    key |= np.minimum(left, 7).astype(B.U64)
     order = np.argsort(key)
     sorted_key = key[order]
     new = np.ones(n, dtype=bool)
@@ -269,8 +307,7 @@ def common_prefixes(codes: np.ndarray, left: np.ndarray, order: np.ndarray) -> n
     i = np.flatnonzero(~reducible & (before >= 0))
     j = before[i]
     most = np.minimum(left[i], left[j])
-    words = np.lib.stride_tricks.as_strided(np.append(codes, np.zeros(8, np.uint8)), (n + 1, 8), (1, 1))
-    words = np.ascontiguousarray(words).view("<u8").ravel()
+    words = np.append(_words(codes), B.U64(0))
     same = np.zeros(len(i), dtype=np.int64)
     live = np.arange(len(i))
     while len(live):
@@ -301,11 +338,13 @@ def first_starts(segments: list[bytes], owners: np.ndarray) -> tuple[np.ndarray,
     window, group = order[is_window], group[is_window]
     seg = np.searchsorted(ends, window, side="right")
     start = owners[seg, 2] + window - (ends - sizes)[seg]
-    by = np.lexsort((start, owners[seg, 1], owners[seg, 0], group))
-    earliest = np.ones(len(by), dtype=bool)
-    earliest[1:] = group[by][1:] != group[by][:-1]
-    first = np.zeros(len(window), dtype=bool)
-    first[by[earliest]] = True
+    first = np.ones(len(window), dtype=bool)
+    met = np.zeros(len(window), dtype=bool)
+    met[1:] = group[1:] == group[:-1]
+    met[:-1] |= met[1:]
+    k = np.flatnonzero(met)
+    by = k[np.lexsort((start[k], owners[seg[k], 1], owners[seg[k], 0], group[k]))]
+    first[by[1:][group[by[1:]] == group[by[:-1]]]] = False
     return window, seg, first, start
 
 
@@ -364,7 +403,12 @@ def _shard(items: list[tuple]) -> Iterator[tuple]:
             x, have = have, x
         if x is not None:
             yield 0, 0, 0, x[2], x[3], x[4], x[5], None
-    distinct = list(best.values())
+    # windows of one minimizer are equal only at equal distance from it, so a segment alone in its group has no repeats
+    groups = Counter((x[0], x[1]) for x in best.values())
+    yield from ((1, *x) for x in best.values() if groups[x[0], x[1]] == 1 and x[1] > 0)
+    distinct = [x for x in best.values() if groups[x[0], x[1]] > 1]
+    if not distinct:
+        return
     owners = np.array([x[2:5] for x in distinct], dtype=np.int64).reshape(-1, 3)
     window, seg, first, start = first_starts([x[6] for x in distinct], owners)
     late = ~first
@@ -512,21 +556,33 @@ def dedup(docs: DataFrame) -> DataFrame:
     placed = narrow.join(firsts, F.col("sha") == F.col("_sha"), "left").withColumn("copy", F.coalesce(F.col("doc") > F.col("first"), F.lit(False)))
 
     hot = spark.sparkContext.broadcast(_shards(docs))  # FREQUENT entries at most
-    anchors = keyed.mapInArrow(_anchor_rows(hot), "h long, salt int, doc long, mark long, twice boolean").repartition("h", "salt")
-    # the aggregation reads all columns, so that it and the join share one shuffle
-    met = anchors.groupBy("h", "salt").agg(F.min(F.struct("doc", "mark", "twice")).alias("a"), F.max(F.struct("doc", "mark", "twice")).alias("b"), F.max("twice").alias("t"))
-    met = met.where((F.col("salt") > 0) | F.col("t") | (F.col("a") != F.col("b"))).select(F.col("h").alias("_h"), F.col("salt").alias("_s"))
-    shared = anchors.join(met, (F.col("h") == F.col("_h")) & (F.col("salt") == F.col("_s"))).groupBy("doc", "mark").agg(F.collect_list(F.struct("h", "salt")).alias("anchors"))
-    # a document's anchors are fewer than its bytes; documents without shared ones end here
-    wanted = keyed.join(shared.withColumnRenamed("doc", "_d").withColumnRenamed("mark", "_m"), (F.col("doc") == F.col("_d")) & (F.col("mark") == F.col("_m")))
-    candidates = scratch.cut(wanted.select("doc", "mark", "text", "anchors"), "candidates")
+    # flags: twice the salt, plus 1 for an anchor that its document has several times
+    # without nulls, so that no inferred filter tells its two readers apart
+    anchor = StructType([StructField(c, LongType(), False) for c in ("h", "doc", "mark", "flags")])
+    anchors = keyed.mapInArrow(_anchor_rows(hot), anchor)
+    salt = F.shiftright("flags", 1)
+    anchors = anchors.repartition(F.col("h"), salt.alias("salt"))
+    # both readers of the anchors use all columns, so that they share one shuffle
+    met = anchors.groupBy(F.col("h").alias("_h"), salt.alias("_s")).agg(
+        F.min("doc").alias("d0"), F.max("doc").alias("d1"), F.min("mark").alias("m0"), F.max("mark").alias("m1"), F.max(F.col("flags").bitwiseAND(F.lit(1).cast("long"))).alias("t")
+    ).where("_s > 0 or t = 1 or d0 < d1 or m0 < m1").select("_h", "_s")
+    shared = anchors.join(met, (F.col("h") == F.col("_h")) & (salt == F.col("_s")))
+    shared = shared.groupBy("doc", "mark").agg(F.collect_list(F.struct("h", "flags")).alias("anchors"))
+    # a document's anchors are fewer than its bytes; documents without shared ones end here, before texts are shuffled
+    shared = scratch.cut(shared, "shared", heavy=True)
+    bits = spark.sparkContext.broadcast(bitmap.build(shared, "doc"))
+    some = keyed.mapInArrow(_possible(bits), keyed.schema)
+    wanted = some.join(shared.withColumnRenamed("doc", "_d").withColumnRenamed("mark", "_m"), (F.col("doc") == F.col("_d")) & (F.col("mark") == F.col("_m")))
+    candidates = scratch.cut(wanted.select("doc", "mark", "text", "anchors"), "candidates", heavy=True)
     pieces = candidates.mapInArrow(_segment_rows, PIECE).repartition("h", "salt").sortWithinPartitions("h", "salt")
-    settled = scratch.cut(pieces.mapInArrow(_settle, PIECE), "settled")
+    settled = scratch.cut(pieces.mapInArrow(_settle, PIECE), "settled", heavy=True)
     across = settled.where("kind = 1").repartition("h").sortWithinPartitions("h", "salt").mapInArrow(_settle_across, PIECE)
     spans = settled.where("kind = 0").unionByName(across).groupBy("doc", "mark").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
     spans = spans.withColumnRenamed("doc", "_d").withColumnRenamed("mark", "_m")
-    results = candidates.select("doc", "mark", "text").distinct().join(spans, (F.col("doc") == F.col("_d")) & (F.col("mark") == F.col("_m")))
+    results = candidates.select("doc", "mark", "text").join(spans, (F.col("doc") == F.col("_d")) & (F.col("mark") == F.col("_m")))
     results = results.select("doc", "mark", "text", "spans").mapInArrow(_cut_texts, "_doc long, _mark long, n_removed long, n_spans long, kept_sha256 string")
+    # rows that repeat a document give the same result
+    results = results.groupBy("_doc", "_mark").agg(*(F.max(c).alias(c) for c in ("n_removed", "n_spans", "kept_sha256")))
     done = placed.join(results, (F.col("doc") == F.col("_doc")) & (F.col("mark") == F.col("_mark")), "left")
     gone = F.col("copy")
     return done.select(
