@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strataflow.llm import scratch
+
 UNIT, WIDTH, FILL = 576, 24, 255
 MEDIA = ("img", "video", "audio", "source", "embed")
 BLOCKS = frozenset("p div br li ul ol h1 h2 h3 h4 h5 h6 tr td th table section article header footer nav figure figcaption blockquote pre hr title".split())
@@ -195,7 +197,8 @@ def read_back(media: DataFrame) -> DataFrame:
 def resolve(sequence: DataFrame, features: DataFrame) -> DataFrame:
     """``sequence`` with the features of the payload that each element's digest names."""
     names = [f.split()[0] for f in FEATURES.split(", ")][1:]
-    one = features.groupBy("digest").agg(*(F.min(n).alias(n) for n in names)).withColumnRenamed("digest", "_digest")
+    # written, so that the join's sides are plain shuffles, of which adaptive execution splits a hot digest's
+    one = scratch.cut(features.groupBy("digest").agg(*(F.min(n).alias(n) for n in names)).withColumnRenamed("digest", "_digest"), "payloads")
     return sequence.join(one, F.col("digest") == F.col("_digest"), "left").drop("_digest")
 
 

@@ -28,7 +28,7 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_media_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     stored = scratch.cut(media.store(docs.select(media.payload(F.col("text")).alias("payload"))), "media")
-    features = scratch.cut(media.read_back(stored), "features")
+    features = media.read_back(stored)
     pages = media.documents_as_pages(docs)
     sequence = media.resolve(media.interleave(pages, "doc_id").where("kind = 'media'"), features)
     return sequence.select(
