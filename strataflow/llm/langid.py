@@ -28,6 +28,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
+from strataflow.llm import scratch
+
 SAMPLE_DOCS = 64
 TRAIN_BYTES = 32768
 ALL_BYTES = 1 << 21
@@ -84,12 +86,16 @@ def automaton(symbols: bytes) -> list[dict[int, int]]:
 
 
 def table(step: list[dict[int, int]], width: int) -> np.ndarray:
-    """Entry state*width + symbol: (next state * width) << 1, plus 1 when a new phrase begins."""
-    out = np.zeros((len(step), width), dtype=np.int32)
-    root = np.zeros(width, dtype=np.int32)
+    """Entry state*width + symbol: (next state * width) << 1, plus 1 when a new phrase begins.
+
+    A last state follows symbols that are nowhere in the sample, each a phrase of its own.
+    """
+    lost = len(step)
+    first = np.full(width, lost, dtype=np.int32)
     for c, n in step[0].items():
-        root[c] = n
-    out[:] = (root * width) << 1 | 1
+        first[c] = n
+    out = np.tile(first * width << 1 | 1, (lost + 1, 1))
+    out[0] = first * width << 1
     for s, moves in enumerate(step):
         for c, n in moves.items():
             out[s, c] = n * width << 1
@@ -177,6 +183,7 @@ def train(docs: DataFrame) -> dict:
 
 def identify(docs: DataFrame, model: dict, keep: list[str] = ()) -> DataFrame:
     """The columns ``keep`` of ``docs``, and lang_pred, score, phrase_rate."""
+    scratch.bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # ALL_BYTES of samples bound its size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
