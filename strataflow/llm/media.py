@@ -156,6 +156,7 @@ def store(payloads: DataFrame, column: str = "payload") -> DataFrame:
                 stored.append(to_image(data))
             yield pa.RecordBatch.from_arrays([pa.array(digests, pa.string()), pa.array(stored, pa.binary())], ["digest", "media"])
 
+    scratch.bounded_batches(payloads.sparkSession)
     return payloads.select(column).mapInArrow(run, "digest string, media binary")
 
 

@@ -27,8 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
+from strataflow.llm import scratch
+
 SPACE = "▁"
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000
 _WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 U64 = np.uint64
 _BASE = U64(0x9E3779B97F4A7C15)
@@ -93,7 +95,7 @@ class Table:
 
 
 class Codec:
-    """Encoder and decoder of one model; build it once a worker."""
+    """Encoder and decoder of one model."""
 
     def __init__(self, model: dict):
         self.model = model
@@ -286,21 +288,11 @@ class Codec:
         return out
 
 
-_codecs: dict[str, Codec] = {}
-
-
-def _codec(shared, key: str) -> Codec:
-    """This worker's codec of a broadcast model."""
-    if key not in _codecs:
-        _codecs.clear()
-        _codecs[key] = Codec(shared.value)
-    return _codecs[key]
-
-
 def _model(docs: DataFrame, path: str):
-    """The model (its file bounds the size) as a broadcast, and a key of its content."""
+    """The model (its file bounds the size) as a broadcast. Each task builds its codec and drops it, with its cache, at its end."""
+    scratch.bounded_batches(docs.sparkSession)
     model = load(path)
-    return docs.sparkSession.sparkContext.broadcast(model), hashlib.sha256(repr(model).encode()).hexdigest()
+    return docs.sparkSession.sparkContext.broadcast(model)
 
 
 def _parts(texts: list, limit: int = 1 << 21) -> Iterator[list]:
@@ -317,10 +309,10 @@ def _parts(texts: list, limit: int = 1 << 21) -> Iterator[list]:
 
 def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """``docs`` with a column ``ids`` array<int>; the text column stays."""
-    shared, key = _model(docs, path)
+    shared = _model(docs, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(shared, key)
+        codec = Codec(shared.value)
         for batch in batches:
             found = [x for part in _parts(batch.column(text).to_pylist()) for x in codec.encode(part)]
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
@@ -333,10 +325,10 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
 
 def decode(docs: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """``docs`` with a column ``decoded``; null ids decode to an empty text."""
-    shared, key = _model(docs, path)
+    shared = _model(docs, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(shared, key)
+        codec = Codec(shared.value)
         for batch in batches:
             found = codec.decode([np.asarray(x if x is not None else [], dtype=np.int64) for x in batch.column(ids).to_numpy(zero_copy_only=False)])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], [*batch.schema.names, text])
@@ -347,10 +339,10 @@ def decode(docs: DataFrame, path: str, ids: str = "ids", text: str = "decoded")
 def digests(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_chars, n_pieces, ids_sha256 (of little-endian 32-bit ids), decoded_sha256 and
     round_trip of every row: encoded, then decoded, in one pass, so no ids travel between processes."""
-    shared, key = _model(docs, path)
+    shared = _model(docs, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(shared, key)
+        codec = Codec(shared.value)
         for batch in batches:
             rows = []
             for part in _parts(batch.column("text").to_pylist()):

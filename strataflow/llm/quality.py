@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataflow.llm import bytesops as B
+from strataflow.llm import scratch
 
 TRAIN_ROWS = 4000
 BUCKETS = 1 << 13
@@ -171,6 +172,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> dict |
 def judge(docs: DataFrame, model: dict | None, keep: float = KEEP) -> DataFrame:
     """doc_id, the counts, base_failed, kept and quality_score of every row."""
     spark = docs.sparkSession
+    scratch.bounded_batches(spark)
     shared = spark.sparkContext.broadcast(model)  # 2 x BUCKETS weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

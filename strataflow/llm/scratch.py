@@ -1,5 +1,15 @@
-"""The shared scratch folder, under the name that this subpackage uses."""
+"""The shared scratch folder, under the name that this subpackage uses, and the size of Arrow batches of texts."""
+
+from pyspark.sql import SparkSession
 
 from strataflow.shared import broadcast_if_small, cut, folder, release, remove, write
 
-__all__ = ["broadcast_if_small", "cut", "folder", "release", "remove", "write"]
+__all__ = ["bounded_batches", "broadcast_if_small", "cut", "folder", "release", "remove", "write"]
+BATCH_ROWS = 2000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Texts are long: let an Arrow batch hold BATCH_ROWS rows at most, whatever the session allows for numbers."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
