@@ -14,9 +14,11 @@ The global order puts shingles found often in whole files last. It steers cost o
 exact, so it may be bounded to the FREQUENT most frequent ones, counted over all documents.
 
 Only components are asked for, so lists are not turned into all pairs. First, sets that are equal are one.
-Then every list links its members to one hub, after verification of the pair. Then, in lists that
-still hold several components, every pair of members from different ones is verified: no link between
-different texts is lost, and pairs within a component never arise. Very frequent shingles' lists are salted for the first step.
+Then every list links its members to one hub, after verification of the pair. Then the members of lists that
+still hold several components meet across components: in lists of SHORT members at once, the members of longer lists
+in a second join, with their lists' shingles put last, and what is still in long lists in a third, by exact
+frequency. Every pair that meets is verified, so no link between different texts
+is lost, and pairs within a component never arise. Very frequent shingles' lists are salted for the first step.
 
 Nulls and texts without words: empty sets, linked with nothing, component_id the own id. A null
 doc_id has component null. Rows that repeat a doc_id count as one node. Ties do not matter: the component is the least id.
@@ -34,16 +36,20 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
+from strataflow.llm import bitmap, scratch
 from strataflow.llm import bytesops as B
-from strataflow.llm import scratch
-from strataflow.llm.components import components
+from strataflow.operators.components import components
 
 K = 5
-FREQUENT = 1 << 16
-LOCAL = 1 << 22
+FREQUENT = 1 << 20
+LOCAL = 1 << 21
 LIST = 4096
+SHORT = 32
 MOST_LIGHT = 12
+MOST_LISTS = (1 << 15) - 1
+SIGNATURE = 4096
 #: cost of a posting that is grouped and joined back, and of verifying, against one subset key
 SCAN_COST, VERIFY_COST = 2.0, 4.0
 
@@ -113,6 +119,26 @@ def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield frequent()
 
 
+class Frequency:
+    """Weights of sorted shingles; a table of their high bits answers for most others."""
+
+    BITS = 22
+
+    def __init__(self, known: np.ndarray, weight: np.ndarray):
+        self.known, self.weight = known, weight
+        self.some = np.zeros(1 << self.BITS, dtype=bool)
+        self.some[known >> B.U64(64 - self.BITS)] = True
+
+    def __call__(self, h: np.ndarray) -> np.ndarray:
+        """Weights of shingles, 0 of those that are not known."""
+        out = np.zeros(len(h), dtype=np.int64)
+        maybe = np.flatnonzero(self.some[h >> B.U64(64 - self.BITS)])
+        if len(maybe):
+            at = np.minimum(np.searchsorted(self.known, h[maybe]), len(self.known) - 1)
+            out[maybe] = np.where(self.known[at] == h[maybe], self.weight[at], 0)
+        return out
+
+
 def _weights(survey: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """The FREQUENT most frequent shingles, sorted, and their weights."""
     top = survey.where("doc_id is null and k2 is null").groupBy("k1").agg(F.sum("n").alias("w")).orderBy(F.desc("w"), "k1").limit(FREQUENT).toArrow()
@@ -121,25 +147,41 @@ def _weights(survey: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return h[order], top.column("w").to_numpy().astype(np.int64)[order]
 
 
+def _heads(frequency: Frequency, doc: np.ndarray, h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(doc, shingle, weight, position) of each set's prefix, in the order of weight, then hash; n: the sets' sizes."""
+    w = frequency(h)
+    order = np.lexsort((h, w, doc))
+    doc, h, w = doc[order], h[order], w[order]
+    position = np.arange(len(doc)) - np.searchsorted(doc, doc)
+    head = position < prefix_length(n[doc])
+    return doc[head], h[head], w[head], position[head]
+
+
 def _poster(shared, most_light: int):
-    """Postings (h, salt, doc, n and position, light) of documents; equal sets post once a task."""
+    """Postings (h, doc, place) of documents; equal sets post once a task.
+
+    ``place`` packs, from the top: light (1 bit), salt (15), set size (24), position or the partner's size (23).
+    """
     plans = {n: [(m, list(combinations(range(n), needed(n, m)))) for m in partners(n, most_light)] for n in range(1, most_light + 1)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, weight = shared.value
+        frequency = Frequency(*shared.value)
         seen: set[bytes] = set()
         for batch in batches:
             texts, ids = B.texts_of(batch.column("text")), batch.column("doc_id").cast(pa.int64())
             valid = ~np.asarray(ids.is_null())
             ids = np.asarray(ids.fill_null(0))
-            out: list[list[np.ndarray]] = [[], [], [], [], []]
+            out: list[list[np.ndarray]] = [[], [], []]
 
-            def put(h, salt, doc, place, light):
-                for column, value in zip(out, (h.view(np.int64), salt, doc, place, np.full(len(h), light))):
+            def put(h, salt, doc, n, p, light):
+                place = np.int64(light) << 62 | np.asarray(salt, np.int64) << 47 | np.asarray(n, np.int64) << 23 | p
+                for column, value in zip(out, (h.view(np.int64), doc, np.broadcast_to(place, len(h)))):
                     column.append(value)
 
             for low, high, doc, h in _sets(texts):
                 n = np.bincount(doc, minlength=high - low)
+                if n.max(initial=0) >= 1 << 24:
+                    raise ValueError("a set of more than 16 million shingles does not fit a posting")
                 fresh = np.zeros(high - low, dtype=bool)
                 first = np.searchsorted(doc, np.arange(high - low + 1))
                 for i in np.flatnonzero((n > 0) & valid[low:high]):
@@ -151,19 +193,11 @@ def _poster(shared, most_light: int):
                         fresh[i] = True
                 large = fresh & (5 * n >= 4 * (most_light + 1))
                 take = large[doc]
-                d, g = doc[take], h[take]
-                if len(d):
-                    at = np.minimum(np.searchsorted(known, g), max(len(known) - 1, 0))
-                    w = np.where(known[at] == g, weight[at], 0) if len(known) else np.zeros(len(g), np.int64)
-                    order = np.lexsort((g, w, d))
-                    d, g, w = d[order], g[order], w[order]
-                    begin = np.searchsorted(d, d)
-                    position = np.arange(len(d)) - begin
-                    head = position < prefix_length(n[d])
-                    d, g, w, position = d[head], g[head], w[head], position[head]
-                    lists = (w + LIST - 1) // LIST
+                if take.any():
+                    d, g, w, position = _heads(frequency, doc[take], h[take], n)
+                    lists = np.minimum((w + LIST - 1) // LIST, MOST_LISTS)
                     salt = np.where(lists > 1, 1 + (ids[low + d].astype(np.int64) & 0x7FFFFFFF) % np.maximum(lists, 1), 0)
-                    put(g, salt, ids[low + d], (n[d].astype(np.int64) << 32) | position, False)
+                    put(g, salt, ids[low + d], n[d], position, 0)
                 for size in range(1, most_light + 1):
                     members = np.flatnonzero(fresh & (n == size))
                     if not len(members):
@@ -174,92 +208,208 @@ def _poster(shared, most_light: int):
                             key = np.full(len(members), (min(size, m) << 8 | max(size, m)) + 1, dtype=B.U64)
                             for j in subset:
                                 key = B.mix(key * B.STEPS[0] + sets[:, j])
-                            put(key, np.zeros(len(members), np.int64), ids[low + members], np.full(len(members), (size << 32) | m, np.int64), True)
+                            put(key, 0, ids[low + members], size, m, 1)
             if out[0]:
                 c = [np.concatenate(x) for x in out]
-                yield pa.RecordBatch.from_arrays([pa.array(c[0]), pa.array(c[1].astype(np.int32)), pa.array(c[2].astype(np.int64)), pa.array(c[3]), pa.array(c[4])], ["h", "salt", "doc", "place", "light"])
+                yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in c], ["h", "doc", "place"])
 
     return run
 
 
-POSTING = "h long, salt int, doc long, place long, light boolean"
+POSTING = StructType([StructField(c, LongType(), False) for c in ("h", "doc", "place")])
 
 
-def _list_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = B.texts_of(batch.column("text"))
-        flat, sizes = [np.zeros(0, B.U64)], [np.zeros(0, np.int64)]
-        for low, high, doc, h in _sets(texts):
-            flat.append(h)
-            sizes.append(np.bincount(doc, minlength=high - low))
-        offsets = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(flat).view(np.int64)))], ["doc", "shingles"])
+def _bits(place: str, shift: int, width: int):
+    return F.shiftright(F.col(place), shift).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
+
+
+def _list_key() -> list:
+    """A list of postings: the shingle and its salt."""
+    return [F.col("h"), _bits("place", 47, 15).alias("salt")]
+
+
+def _chosen(docs: DataFrame, ids: DataFrame, columns: list[tuple], emit):
+    """Rows that ``emit`` makes of the shingles of the documents named by ``ids`` (doc), and perhaps of a few more:
+    (ids, text indices, shingles, number of texts).
+
+    A bitmap of the ids keeps the texts of all others, and so every text, out of the shuffle.
+    """
+    bits = docs.sparkSession.sparkContext.broadcast(bitmap.build(ids, "doc"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = np.asarray(batch.column("doc_id").cast(pa.int64()).fill_null(0))
+            wanted = np.flatnonzero(bitmap.contains(bits.value, ids) & ~np.asarray(batch.column("doc_id").is_null()))
+            texts = B.texts_of(batch.column("text").take(pa.array(wanted)))
+            for low, high, doc, h in _sets(texts):
+                yield pa.RecordBatch.from_arrays(emit(ids[wanted[low:high]], doc, h, high - low), [c for c, _ in columns])
+
+    # without nulls, so that no inferred filter tells the two sides of a self-join apart and they share one shuffle
+    return docs.select("doc_id", "text").mapInArrow(run, StructType([StructField(c, t, False) for c, t in columns]))
+
+
+def _signature(ids, doc, h, n):
+    """Parities of SIGNATURE hash buckets, as 64-bit words: sets differ in at least as many shingles as in bits."""
+    counts = np.bincount(doc * SIGNATURE + (h >> B.U64(20)).astype(np.int64) % SIGNATURE, minlength=n * SIGNATURE)
+    words = np.packbits((counts & 1).astype(np.uint8)).view(np.int64)
+    offsets = np.arange(n + 1, dtype=np.int32) * (SIGNATURE // 64)
+    return [pa.array(ids), pa.array(np.bincount(doc, minlength=n)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(words))]
+
+
+def _shingle_lists(ids, doc, h, n):
+    offsets = np.searchsorted(doc, np.arange(n + 1)).astype(np.int32)
+    return [pa.array(ids), pa.ListArray.from_arrays(pa.array(offsets), pa.array(h.view(np.int64)))]
 
 
 def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Those pairs (u, v) whose sets link. Sets are made anew for the documents of pairs only."""
-    ids = pairs.select(F.col("u").alias("doc_id")).unionByName(pairs.select(F.col("v").alias("doc_id"))).distinct()
-    texts = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi")
-    sets = texts.mapInArrow(_list_sets, "doc long, shingles array<long>")
-    sets = scratch.cut(sets, "sets")
-    a = sets.select(F.col("doc").alias("u"), F.col("shingles").alias("a"))
-    b = sets.select(F.col("doc").alias("v"), F.col("shingles").alias("b"))
-    both = pairs.select("u", "v").join(a, "u").join(b, "v")
+    """Those pairs (u, v) whose sets link.
+
+    Signatures come first: linked sets differ in (n + m) / 9 shingles at most, so pairs whose signatures
+    differ in more bits are dropped. Sets are made for what is left only.
+    """
+    longs = ArrayType(LongType(), False)
+    ends = lambda p: p.select(F.explode(F.array("u", "v")).alias("doc"))
+    signs = _chosen(docs, ends(pairs), [("doc", LongType()), ("n", LongType()), ("sign", longs)], _signature)
+    both = pairs.select("u", "v").join(signs.toDF("u", "na", "a"), "u").join(signs.toDF("v", "nb", "b"), "v")
+    bits = F.aggregate(F.zip_with("a", "b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    near = scratch.cut(both.where(9 * bits <= F.col("na") + F.col("nb")).select("u", "v"), "near", heavy=True)
+    sets = _chosen(docs, ends(near), [("doc", LongType()), ("shingles", longs)], _shingle_lists)
+    both = near.join(sets.toDF("u", "a"), "u").join(sets.toDF("v", "b"), "v")
     return both.where(9 * F.size(F.array_intersect("a", "b")) >= 4 * (F.size("a") + F.size("b"))).select("u", "v")
 
 
+def _fits(n, p, m, q):
+    """Whether sets of n and m shingles that first meet at positions p and q can link."""
+    return (9 * F.least(n, m) >= 4 * (n + m)) & (9 * F.least(n - p, m - q) >= 4 * (n + m))
+
+
+def _open_lists(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Postings (h, doc, n, p, component) that can meet any other of their list, and (h, _c), the lists
+    with several components and their lengths.
+
+    A posting is dropped when even the smallest set of its list asks for more shingles than it has left.
+    """
+    least = rows.groupBy("h").agg(F.min("n").alias("_m"))
+    m = F.greatest(F.col("_m"), F.floor((4 * F.col("n") + 4) / 5))
+    kept = rows.join(least, "h").where(9 * (F.col("n") - F.col("p")) >= 4 * (F.col("n") + m)).drop("_m")
+    kept = scratch.cut(kept, "open", heavy=True)
+    counts = kept.groupBy("h").agg(F.count("*").alias("_c"), F.min("component").alias("_c0"), F.max("component").alias("_c1")).where("_c0 < _c1")
+    return kept, scratch.cut(counts.select("h", "_c"), "counts")
+
+
+def _meetings(rows: DataFrame) -> DataFrame:
+    """Distinct pairs (u, v) of postings (h, doc, n, p, component) of one list, of different components, that can link."""
+    x = rows.select("h", F.col("doc").alias("u"), F.col("n").alias("nu"), F.col("p").alias("pu"), F.col("component").alias("cu"))
+    y = rows.select("h", F.col("doc").alias("v"), F.col("n").alias("nv"), F.col("p").alias("pv"), F.col("component").alias("cv"))
+    both = x.join(y, "h").where((F.col("u") > F.col("v")) & (F.col("cu") != F.col("cv")) & _fits(F.col("nu"), F.col("pu"), F.col("nv"), F.col("pv")))
+    return both.select("u", "v").distinct()
+
+
+def _across(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """Pairs (u, v) that can link, of documents (doc, component) in different components.
+
+    The order is now by the shingles' exact frequency among these documents. What only one of them has comes
+    first, and fills the prefixes of documents that merely share passages or a common ancestor: they meet no more.
+    """
+    sets = _chosen(docs, members.select("doc"), [("doc", LongType()), ("shingles", ArrayType(LongType(), False))], _shingle_lists)
+    sets = members.join(sets, "doc")
+    rows = sets.select("doc", F.size("shingles").alias("n"), F.explode("shingles").alias("h"))
+    counts = rows.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
+    met = rows.join(counts, "h").groupBy("doc", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("met"))
+    # shingles of one document alone take the first places
+    alone = F.col("n") - F.size("met")
+    length = F.col("n") - F.floor((4 * F.col("n") + 4) / 5).cast("int") + 1
+    heads = met.where(alone < length).select("doc", "n", alone.alias("_alone"), F.posexplode(F.slice("met", F.lit(1), length - alone)).alias("_i", "s"))
+    heads = heads.select("doc", F.col("n").cast("long").alias("n"), (F.col("_alone") + F.col("_i")).cast("long").alias("p"), "s.h")
+    return _meetings(scratch.cut(heads.join(members, "doc"), "heads", heavy=True))
+
+
+def _again(docs: DataFrame, members: DataFrame, known: tuple[np.ndarray, np.ndarray], long: DataFrame) -> DataFrame:
+    """Pairs (u, v) that can link, of documents (doc, component) of long lists, in different components.
+
+    The shingles of long lists (h, _c) are now known to be frequent and go last in the order, the
+    FREQUENT most frequent of all at most. What still meets in long lists is left to exact frequencies.
+    """
+    top = long.orderBy(F.desc("_c"), "h").limit(FREQUENT).toArrow()
+    h = np.concatenate([top.column("h").to_numpy().astype(np.int64).view(B.U64), known[0]])
+    w = np.concatenate([top.column("_c").to_numpy().astype(np.int64) + SHORT, known[1]])
+    keep = np.sort(np.lexsort((h, -w))[:FREQUENT])
+    h, first = np.unique(h[keep], return_index=True)
+    shared = docs.sparkSession.sparkContext.broadcast((h, w[keep][first]))  # 16 MB at most
+
+    def emit(ids, doc, h, n):
+        sizes = np.bincount(doc, minlength=n)
+        d, g, _, p = _heads(Frequency(*shared.value), doc, h, sizes)
+        return [pa.array(ids[d]), pa.array(g.view(np.int64)), pa.array(sizes[d]), pa.array(p)]
+
+    rows = members.join(_chosen(docs, members.select("doc"), [(c, LongType()) for c in ("doc", "h", "n", "p")], emit), "doc")
+    rows, counts = _open_lists(rows)
+    left = rows.join(counts.where(F.col("_c") > SHORT), "h").select("doc", "component").distinct()
+    return _meetings(rows.join(counts.where(F.col("_c") <= SHORT), "h").drop("_c")).unionByName(_across(docs, scratch.cut(left, "members")))
+
+
 def links_and_sizes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n_shingles) of every row, and (node, component) of every linked document."""
     spark = docs.sparkSession
+    scratch.bounded_batches(spark)
     survey = scratch.cut(docs.select("doc_id", "text").mapInArrow(_survey, "doc_id long, n long, k1 long, k2 long"), "survey")
     rows = survey.where("k2 is not null")
     sizes = rows.select("doc_id", F.col("n").alias("n_shingles"))
     small = rows.where((F.col("n") > 0) & (F.col("n") <= 2 * MOST_LIGHT)).groupBy("n").count().collect()  # 24 rows at most
     most_light = boundary({r["n"]: r["count"] for r in small})
-    shared = spark.sparkContext.broadcast(_weights(survey))  # FREQUENT pairs of numbers
+    known = _weights(survey)
+    shared = spark.sparkContext.broadcast(known)  # FREQUENT pairs of numbers, 16 MB at most
 
     own = rows.where("n > 0 and doc_id is not null")
     firsts = own.groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("v"), F.count("*").alias("c")).where("c > 1").drop("c")
     equal = own.join(firsts, ["n", "k1", "k2"]).select(F.col("doc_id").alias("u"), "v").where("u <> v")
 
     posts = docs.select("doc_id", "text").mapInArrow(_poster(shared, most_light), POSTING)
-    posts = posts.repartition("h", "salt")
+    posts = posts.repartition(*_list_key())
     # the aggregation reads all columns, so that it and the join share one shuffle
-    hubs = posts.groupBy("h", "salt").agg(F.min(F.struct("doc", "place", "light")).alias("hub"), F.max("doc").alias("last"))
+    hubs = posts.groupBy(*_list_key()).agg(F.min(F.struct("doc", "place")).alias("hub"), F.max("doc").alias("last"))
     hubs = hubs.where("hub.doc < last or salt > 0").select(F.col("h").alias("_h"), F.col("salt").alias("_s"), "hub")
     # lists with one member are most of all; what is left is small
-    lists = posts.join(hubs, (F.col("h") == F.col("_h")) & (F.col("salt") == F.col("_s"))).drop("_h", "_s")
-    lists = scratch.cut(lists, "lists")
+    lists = posts.join(hubs, (F.col("h") == F.col("_h")) & (_bits("place", 47, 15) == F.col("_s"))).drop("_h", "_s")
+    lists = lists.select("h", "doc", (_bits("place", 62, 1) == 1).alias("light"), _bits("place", 47, 15).alias("salt"), _bits("place", 23, 24).alias("n"), _bits("place", 0, 23).alias("p"), "hub")
+    lists = scratch.cut(lists, "lists", heavy=True)
 
     # subsets: members of the two sizes are joined through one of each; every one of these is a link
-    light = lists.where("light").withColumn("n", F.shiftright("place", 32)).withColumn("m", F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)))
+    light = lists.where("light").select("h", "doc", "n", F.col("p").alias("m"))
     ends = light.groupBy("h", "n", "m").agg(F.min("doc").alias("v")).select(F.col("h").alias("_h"), F.col("m").alias("_n"), F.col("n").alias("_m"), "v")
     subset_links = light.join(ends, (F.col("h") == F.col("_h")) & (F.col("n") == F.col("_n")) & (F.col("m") == F.col("_m"))).select(F.col("doc").alias("u"), "v")
 
-    heavy = lists.where("not light").select("h", "salt", "doc", F.shiftright("place", 32).alias("n"), F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).alias("p"), "hub")
-    fits = lambda n, p, m, q: (9 * F.least(n, m) >= 4 * (n + m)) & (9 * (1 + F.least(n - p - 1, m - q - 1)) >= 4 * (n + m))
-    hub_n, hub_p = F.shiftright("hub.place", 32), F.col("hub.place").bitwiseAND(F.lit(0xFFFFFFFF))
-    stars = heavy.where((F.col("doc") != F.col("hub.doc")) & fits(F.col("n"), F.col("p"), hub_n, hub_p)).select(F.col("doc").alias("u"), F.col("hub.doc").alias("v"))
+    heavy = lists.where("not light").select("h", "salt", "doc", "n", "p", "hub")
+    hub_n, hub_p = _bits("hub.place", 23, 24), _bits("hub.place", 0, 23)
+    stars = heavy.where((F.col("doc") != F.col("hub.doc")) & _fits(F.col("n"), F.col("p"), hub_n, hub_p)).select(F.col("doc").alias("u"), F.col("hub.doc").alias("v"))
     salted = heavy.where("salt > 0").select("h", "hub").distinct()
     top = salted.groupBy("h").agg(F.min("hub").alias("top"))
     across = salted.join(top, "h").where("hub.doc <> top.doc").select(F.col("hub.doc").alias("u"), F.col("top.doc").alias("v"))
-    stars = scratch.cut(stars.unionByName(across).distinct(), "stars")
+    stars = scratch.cut(stars.unionByName(across).distinct(), "stars", heavy=True)
     star_links = _verified(docs, stars)
-    links = scratch.cut(equal.unionByName(subset_links).unionByName(star_links).distinct(), "links")
+    star_links = scratch.cut(star_links, "star-links", heavy=True)
+    links = scratch.cut(equal.unionByName(subset_links).unionByName(star_links).distinct(), "links", heavy=True)
     found = components(links, "star-components")
     found = scratch.cut(found, "components")
 
-    # lists that still hold several components
-    placed = heavy.join(found, F.col("doc") == F.col("node"), "left").select("h", "doc", "n", "p", F.coalesce("component", "doc").alias("component"))
-    placed = scratch.cut(placed, "placed")
-    mixed = placed.groupBy("h").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 < c1").select("h")
-    still = scratch.cut(placed.join(mixed, "h", "left_semi"), "mixed")
-    x = still.select("h", F.col("doc").alias("u"), F.col("n").alias("nu"), F.col("p").alias("pu"), F.col("component").alias("cu"))
-    y = still.select("h", F.col("doc").alias("v"), F.col("n").alias("nv"), F.col("p").alias("pv"), F.col("component").alias("cv"))
-    rest = x.join(y, "h").where((F.col("u") > F.col("v")) & (F.col("cu") != F.col("cv")) & fits(F.col("nu"), F.col("pu"), F.col("nv"), F.col("pv"))).select("u", "v").distinct()
+    # lists that still hold several components: a member in another one than the hub, or hubs in several
+    members = scratch.broadcast_if_small(found)
+    ends = scratch.broadcast_if_small(found.select(F.col("node").alias("_hub"), F.col("component").alias("_hc")))
+    placed = heavy.join(members, F.col("doc") == F.col("node"), "left").join(ends, F.col("hub.doc") == F.col("_hub"), "left")
+    placed = placed.select("h", "salt", "doc", "n", "p", F.coalesce("component", "doc").alias("component"), F.coalesce("_hc", "hub.doc").alias("hub_component"))
+    placed = scratch.cut(placed, "placed", heavy=True)
+    split = placed.where("component <> hub_component").select("h")
+    apart = placed.where("salt > 0").groupBy("h").agg(F.min("hub_component").alias("c0"), F.max("hub_component").alias("c1")).where("c0 < c1").select("h")
+    mixed = scratch.cut(split.unionByName(apart).distinct(), "mixed-lists")
+    still, counts = _open_lists(placed.join(scratch.broadcast_if_small(mixed), "h", "left_semi").drop("salt", "hub_component"))
+    # two documents of one list meet in a short list, or are both among those of long ones, which are joined again
+    short = still.join(counts.where(F.col("_c") <= SHORT), "h").drop("_c")
+    long = counts.where(F.col("_c") > SHORT)
+    members = scratch.cut(still.join(long, "h").select("doc", "component").distinct(), "members")
+    rest = _meetings(short).unionByName(_again(docs, members, known, long)).distinct()
     tried = stars.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     rest = scratch.cut(rest.join(tried, ["u", "v"], "left_anti"), "rest")
-    more = scratch.cut(_verified(docs, rest), "more")
+    more = scratch.cut(_verified(docs, rest), "more", heavy=True)
     return sizes, components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more), "components")
 
 
