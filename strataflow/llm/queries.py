@@ -77,4 +77,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op6_warc_revisits, op7_language_id, op8_suffix_dedup, op9_source_mixing, op10_sentencepiece,
     )
 }
-ORACLES: dict[str, str] = {}
+#: Only what SQL can express whole: hashes, models and digests of other engines leave the rest to brute-force tests.
+ORACLES: dict[str, str] = {
+    "op3_jaccard_join": r"""
+        with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') a from documents),
+        s as (select doc_id, unnest(case when len(a) = 0 then [] when len(a) < 5 then [array_to_string(a, ' ')]
+              else list_distinct(list_transform(range(1, len(a) - 3), lambda i: array_to_string(a[i:i + 4], ' '))) end) g from w),
+        c as (select doc_id, count(*) n from s group by 1),
+        p as (select x.doc_id a, y.doc_id b, count(*) i from s x join s y on x.g = y.g and x.doc_id <> y.doc_id group by 1, 2),
+        e as (select a, b from p join c x on x.doc_id = a join c y on y.doc_id = b where 100 * i >= 80 * (x.n + y.n - i)),
+        r as (select doc_id d, doc_id o from documents union select e.b, r.o from r join e on e.a = r.d)
+        select d.doc_id, coalesce(n, 0) n_shingles, o component_id from documents d left join c using (doc_id) join (select d, min(o) o from r group by 1) m on m.d = d.doc_id""",
+    "op6_warc_revisits": """
+        with p as (select page_id, coalesce(html, '') h from pages), q as (select page_id, strlen(h) n, sha256(h) s from p),
+        f as (select s, min(page_id) f from q where n >= 100 group by 1)
+        select page_id, n payload_bytes, q.s payload_digest, case when f is null or f = page_id then 'response' else 'revisit' end record_type,
+        case when f <> page_id then f end refers_to from q left join f on q.s = f.s and n >= 100""",
+}
