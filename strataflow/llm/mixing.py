@@ -19,8 +19,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strataflow.llm import scratch
+
 WORD = r"[^\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
+SEED = 17
 
 
 def word_count(text: Column) -> Column:
@@ -57,15 +60,15 @@ def targets(totals: DataFrame, weights=(5, 2, 1), share: float = 1.5, cap: float
     return t.select("source", "source_size", target.alias("target"))
 
 
-def mix(rows: DataFrame, weights=(5, 2, 1), share: float = 1.5, cap: float = 2.0, bins: int = 512, seed: int = 17) -> DataFrame:
-    """doc_id, source, size, weight -> doc_id, source, size, source_size, target, taken, _tag.
+def _key(doc_id: Column, weight: Column, seed: int) -> Column:
+    """Exponential key of a document: -ln(u) / weight, u from a hash of its id."""
+    u = (F.pmod(F.xxhash64(doc_id, F.lit(seed)), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
+    return -F.log(u) / F.greatest(weight, F.lit(1e-9))
 
-    ``taken`` counts the words that the mix takes from the document, epochs included. The document on
-    which the budget ends gives only the words up to it, so each source ends within one word of its
-    target. ``rows`` is read twice; pass a written table when it is costly.
-    """
-    u = (F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed)), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
-    keyed = rows.withColumn("_key", -F.log(u) / F.greatest(F.col("weight"), F.lit(1e-9)))
+
+def _placed(rows: DataFrame, weights, share: float, cap: float, bins: int, seed: int) -> DataFrame:
+    """``rows`` with source_size, target, _key, _epochs and _part, the words of the fractional epoch."""
+    keyed = rows.withColumn("_key", _key(F.col("doc_id"), F.col("weight"), seed))
     keyed = keyed.withColumn("_bin", F.least(F.lit(bins - 1), F.floor((1 - F.exp(-F.col("_key"))) * bins).cast("int")))
     by_bin = keyed.groupBy("source", "_bin").agg(F.sum("size").alias("_n"))
     before = Window.partitionBy("source").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
@@ -76,11 +79,29 @@ def mix(rows: DataFrame, weights=(5, 2, 1), share: float = 1.5, cap: float = 2.0
     placed = keyed.withColumn("_within", F.coalesce(F.sum("size").over(within), F.lit(0)))
     s = starts.select(F.col("source").alias("_s"), F.col("_bin").alias("_b"), "_before", "source_size", "target")
     out = placed.join(s, placed["source"].eqNullSafe(s["_s"]) & (placed["_bin"] == s["_b"]))
-    size_of_source = F.col("source_size").cast("double")
-    epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / size_of_source)).otherwise(F.lit(0)).cast("long")
+    epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size").cast("double"))).otherwise(F.lit(0)).cast("long")
     budget = F.round(F.col("target") - epochs * F.col("source_size")).cast("long")
     part = F.greatest(F.lit(0), F.least(F.col("size"), budget - F.col("_before") - F.col("_within")))
-    return out.withColumn("taken", (epochs * F.col("size") + part).cast("long")).drop("_s", "_b", "_key", "_bin", "_before", "_within")
+    return out.withColumn("_epochs", epochs).withColumn("_part", part.cast("long")).drop("_s", "_b", "_bin", "_before", "_within")
+
+
+def mix(rows: DataFrame, weights=(5, 2, 1), share: float = 1.5, cap: float = 2.0, bins: int = 512, seed: int = SEED) -> DataFrame:
+    """doc_id, source, size, weight -> these, source_size, target and taken.
+
+    ``taken`` counts the words that the mix takes from the document, epochs included. The document on
+    which the budget ends gives only the words up to it, so each source ends within one word of its
+    target. ``rows`` is read twice; pass a written table when it is costly.
+    """
+    placed = _placed(rows, weights, share, cap, bins, seed)
+    return placed.withColumn("taken", (F.col("_epochs") * F.col("size") + F.col("_part")).cast("long")).drop("_key", "_epochs", "_part")
+
+
+def cuts(rows: DataFrame, weights=(5, 2, 1), share: float = 1.5, cap: float = 2.0, bins: int = 512, seed: int = SEED) -> DataFrame:
+    """source, epochs and last (key, doc_id, size, part): the last document of the fractional epoch in the
+    order of keys, and its words; null when there is none. One row a source says all that mix() decides."""
+    placed = _placed(rows, weights, share, cap, bins, seed)
+    last = F.max(F.when(F.col("_part") > 0, F.struct(F.col("_key").alias("key"), "doc_id", "size", F.col("_part").alias("part"))))
+    return placed.groupBy("source").agg(F.max("_epochs").alias("epochs"), last.alias("last"))
 
 
 def sized(docs: DataFrame) -> DataFrame:
@@ -94,16 +115,23 @@ def first_words(text: Column, n: Column) -> Column:
     return F.array_join(F.slice(words, 1, n.cast("int")), "")
 
 
-def apply_mix(docs: DataFrame, taken: DataFrame) -> DataFrame:
-    """Repeat, cut or leave out documents as ``taken`` (doc_id, size, taken, one row each) says."""
-    t = taken.select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.col("taken").alias("_taken")).where("_taken > 0")
-    both = docs.join(t, docs["doc_id"].eqNullSafe(t["_id"]))
-    full = F.floor(F.col("_taken") / F.col("_size")).cast("int")
-    rest = (F.col("_taken") - full * F.col("_size")).cast("int")
-    pieces = F.concat(F.array_repeat(F.lit(-1), full), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<int>")))
-    out = both.withColumn("_piece", F.explode(pieces))
-    cut = F.when(F.col("_piece") < 0, F.col("text")).otherwise(first_words(F.col("text"), F.col("_piece")))
-    out = out.withColumn("text", cut)
+def apply_cuts(docs: DataFrame, table: DataFrame, seed: int = SEED) -> DataFrame:
+    """Repeat, cut or leave out documents as cuts() says; documents without words are left out.
+
+    Every document's key is made anew and compared with its source's cut, so texts are not shuffled. Rows that
+    repeat an id and a size are taken alike.
+    """
+    c = table.select(F.col("source").alias("_sf_source"), F.col("epochs").alias("_sf_epochs"), F.col("last").alias("_sf_last"))
+    rows = docs.withColumn("_sf_size", word_count(F.col("text"))).where("_sf_size > 0")
+    rows = rows.withColumn("_sf_key", _key(F.col("doc_id"), quality_weight(F.col("text")), seed))
+    both = rows.join(scratch.broadcast_if_small(c), docs["source"].eqNullSafe(c["_sf_source"]))
+    mine = F.struct(F.col("_sf_key").alias("key"), F.col("doc_id").alias("doc_id"), F.col("_sf_size").alias("size"))
+    last = F.struct(F.col("_sf_last.key").alias("key"), F.col("_sf_last.doc_id").alias("doc_id"), F.col("_sf_last.size").alias("size"))
+    part = F.when(F.col("_sf_last").isNull(), 0).when(mine < last, F.col("_sf_size")).when(mine == last, F.col("_sf_last.part")).otherwise(0)
+    full = (F.col("_sf_epochs") + (part == F.col("_sf_size")).cast("long")).cast("int")
+    rest = F.when((part > 0) & (part < F.col("_sf_size")), F.array(part.cast("int"))).otherwise(F.array().cast("array<int>"))
+    out = both.withColumn("_sf_piece", F.explode(F.concat(F.array_repeat(F.lit(-1), full), rest)))
+    out = out.withColumn("text", F.when(F.col("_sf_piece") < 0, F.col("text")).otherwise(first_words(F.col("text"), F.col("_sf_piece"))))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast("long"))
     return out.select(*docs.columns)

@@ -69,7 +69,7 @@ def test_applying_the_mix(spark):
     rows = util.edge_rows(3, 60)
     docs = util.documents(spark, rows)
     taken = mixing.mix(mixing.sized(docs)).select("doc_id", "size", "taken")
-    out = mixing.apply_mix(docs, taken)
+    out = mixing.apply_cuts(docs, mixing.cuts(mixing.sized(docs)))
     assert out.columns == docs.columns
     plan = {r.doc_id: r.taken for r in taken.collect()}
     have = defaultdict(int)
