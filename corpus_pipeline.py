@@ -29,8 +29,8 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated, cut or left out, so that sources meet their target weights."""
-    taken = scratch.cut(mixing.mix(scratch.cut(mixing.sized(docs), "sizes")).select("doc_id", "size", "taken"), "taken")
-    return mixing.apply_mix(docs, taken)
+    cuts = scratch.cut(mixing.cuts(scratch.cut(mixing.sized(docs), "sizes")), "cuts")
+    return mixing.apply_cuts(docs, cuts)
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
