@@ -89,21 +89,23 @@ def _runs(window: np.ndarray, place: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def _fresh(texts: list[bytes], seen: set[bytes]) -> list[bytes]:
-    """The texts, with copies of ones that this task has seen left empty: copies are settled by digest."""
-    out = []
-    for t in texts:
-        if len(t) < LENGTH:
-            out.append(b"")
-            continue
-        key = hashlib.sha256(t).digest()
-        if key in seen:
-            out.append(b"")
+def _fresh(texts: list[bytes], ids: np.ndarray, seen: dict[bytes, int]) -> list[bytes]:
+    """The texts, with copies left empty of ones that this task has taken for the same or a smaller id, or will take
+    from this batch: later copies are settled by digest, and the earliest is always taken, in whatever order rows are read."""
+    keys = [hashlib.sha256(t).digest() if len(t) >= LENGTH else None for t in texts]
+    least: dict[bytes, int] = {}
+    for i, key in enumerate(keys):
+        if key is not None and (key not in least or ids[i] < ids[least[key]]):
+            least[key] = i
+    out = [b""] * len(texts)
+    for key, i in least.items():
+        doc = int(ids[i])
+        if key in seen and seen[key] <= doc:
             continue
         if len(seen) >= 1 << 18:  # memory bound; taking a copy twice costs time only
             seen.clear()
-        seen.add(key)
-        out.append(t)
+        seen[key] = doc
+        out[i] = texts[i]
     return out
 
 
@@ -127,14 +129,14 @@ def _anchors(texts: list[bytes]) -> Iterator[tuple[int, int, np.ndarray, np.ndar
 
 def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(h, n) of anchors that several of the documents read in a row share."""
-    held, total, seen = [], 0, set()
+    held, total, seen = [], 0, {}
 
     def frequent() -> pa.RecordBatch:
         h, n = np.unique(np.concatenate(held) if held else np.zeros(0, B.U64), return_counts=True)
         return pa.RecordBatch.from_arrays([pa.array(h[n > 7].view(np.int64)), pa.array(n[n > 7].astype(np.int64))], ["h", "n"])
 
     for batch in batches:
-        for _, _, _, h, _ in _anchors(_fresh(B.texts_of(batch.column("text")), seen)):
+        for _, _, _, h, _ in _anchors(_fresh(B.texts_of(batch.column("text")), np.asarray(batch.column("doc")), seen)):
             held.append(h)
             total += len(h)
             if total > LOCAL:
@@ -143,19 +145,19 @@ def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield frequent()
 
 
-def _shards(docs: DataFrame) -> dict[int, int]:
+def _shards(keyed: DataFrame) -> dict[int, int]:
     """Shards of the minimizers with more than LIST documents, the FREQUENT most frequent at most."""
-    counts = docs.select("text").mapInArrow(_survey, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") > LIST)
+    counts = keyed.select("doc", "text").mapInArrow(_survey, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") > LIST)
     return {r["h"]: -(-r["n"] // LIST) for r in counts.orderBy(F.desc("n"), "h").limit(FREQUENT).collect()}
 
 
 def _anchor_rows(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()
+        seen: dict[bytes, int] = {}
         hot = np.array(sorted(shared.value), dtype=np.int64)
         for batch in batches:
-            texts = _fresh(B.texts_of(batch.column("text")), seen)
             ids, marks = (np.asarray(batch.column(c)) for c in ("doc", "mark"))
+            texts = _fresh(B.texts_of(batch.column("text")), ids, seen)
             for low, high, doc, h, times in _anchors(texts):
                 h = h.view(np.int64)
                 salt = np.zeros(len(h), dtype=np.int32)
@@ -556,7 +558,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     firsts = narrow.where(F.col("n_bytes") >= LENGTH).groupBy("sha").agg(F.min("doc").alias("first"), F.count("*").alias("_c")).where("_c > 1").select(F.col("sha").alias("_sha"), "first")
     placed = narrow.join(firsts, F.col("sha") == F.col("_sha"), "left").withColumn("copy", F.coalesce(F.col("doc") > F.col("first"), F.lit(False)))
 
-    hot = spark.sparkContext.broadcast(_shards(docs))  # FREQUENT entries at most
+    hot = spark.sparkContext.broadcast(_shards(keyed))  # FREQUENT entries at most
     # flags: twice the salt, plus 1 for an anchor that its document has several times
     # without nulls, so that no inferred filter tells its two readers apart
     anchor = StructType([StructField(c, LongType(), False) for c in ("h", "doc", "mark", "flags")])

@@ -81,6 +81,24 @@ def test_repeated_rows_null_ids_and_empty_table(spark):
     assert suffixes.dedup(util.documents(spark, [])).collect() == []
 
 
+@pytest.mark.parametrize("batch", ["1", "2000"])
+def test_copies_read_in_descending_order(spark, batch):
+    """One task reads the later copies of a text first; the earliest must still lose and own passages."""
+    rng = random.Random(7)
+    a, p, b, c, d = ("".join(rng.choice("abcdefgh ") for _ in range(200)) for _ in range(5))
+    text = a + p + b
+    rows = [(i, t, "en", "a") for i, t in [(60, text), (50, text), (30, c + p + d), (20, text), (10, text), (5, a[:150] + c[:120])]]
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, batch)
+    try:
+        one = spark.createDataFrame([(*r, len(r[1])) for r in rows], util.SCHEMA).coalesce(1)
+        got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.dedup(one).collect()}
+    finally:
+        spark.conf.set(key, before)
+    assert got == brute(rows) and got[10][1] == 150 and got[30][1] > 200
+
+
 def test_suffix_array_and_common_prefixes():
     rng = random.Random(3)
     for _ in range(150):
