@@ -210,6 +210,8 @@ def _segment_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             for x, s, e in zip(h[own].tolist(), begin[own].tolist(), end[own].tolist()):
                 segment = raw[s : e - 1 + LENGTH]
                 have = sent.get(segment)
+                if have == (doc, mark, s):  # a repeated row
+                    continue
                 if have is not None and have < (doc, mark, s):
                     if late and late[-1][1] == s:
                         late[-1][1] = e
@@ -400,6 +402,8 @@ def _shard(items: list[tuple]) -> Iterator[tuple]:
     best: dict[bytes, tuple] = {}
     for x in items:
         have = best.get(x[6])
+        if have is not None and x[2:5] == have[2:5]:  # a row that repeats a document: the same start
+            continue
         if have is None or x[2:5] < have[2:5]:
             best[x[6]] = x
             x, have = have, x

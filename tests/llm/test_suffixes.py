@@ -99,6 +99,27 @@ def test_copies_read_in_descending_order(spark, batch):
     assert got == brute(rows) and got[10][1] == 150 and got[30][1] > 200
 
 
+@pytest.mark.parametrize("tasks", [1, 3])
+def test_repeated_row_owns_its_passage(spark, tasks):
+    rng = random.Random(8)
+    a, p, b, c, d = ("".join(rng.choice("abcdefgh ") for _ in range(200)) for _ in range(5))
+    first, second = (1, a + p + b + a[:150], "en", "a"), (2, c + p + d, "en", "a")
+    for n in (2, 5):  # in both orders, in one task and in several
+        rows = [first, second, *[first] * (n - 1)]
+        df = spark.createDataFrame([(*r, len(r[1])) for r in rows], util.SCHEMA)
+        df = df.coalesce(1) if tasks == 1 else df.repartition(tasks)
+        got = suffixes.dedup(df).collect()
+        assert len(got) == n + 1 and {(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == {(i, *x) for i, x in brute([first, second]).items()}
+
+
+def test_repeated_rows_in_split_groups():
+    """The same segment of the same owner twice in one shard, or once in each of two, is one start."""
+    segment = bytes(97 + i % 26 for i in range(120))
+    item = (5, 0, 1, 9, 0, 21, segment)
+    assert list(suffixes._shard([item, item])) == []
+    assert list(suffixes._merge([[item], [item]])) == []
+
+
 def test_suffix_array_and_common_prefixes():
     rng = random.Random(3)
     for _ in range(150):
