@@ -6,7 +6,10 @@ frontier with the edges; rounds are cut by written tables, and a search ends whe
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterable
+from itertools import count
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataflow import shared
@@ -15,6 +18,11 @@ from strataflow import shared
 ONE_PLAN = 3
 
 
+def _rounds(most: int | None) -> Iterable[int]:
+    """1, 2, ... up to ``most``, or without end."""
+    return count(1) if most is None else range(1, most + 1)
+
+
 def directed(edges: DataFrame, direction: str = "out") -> DataFrame:
     """(source, target) pairs to follow: out, in or both ways."""
     out = edges.select("source", "target")
@@ -78,17 +86,17 @@ def costs(edges: DataFrame) -> DataFrame:
     return edges.groupBy("source", "target").agg(F.min(edge_cost(F.col("cost_signal"))).alias("cost"))
 
 
-def shortest_paths(priced: DataFrame, starts: DataFrame, targets: DataFrame | None = None, rounds: int = 50, max_cost: float | None = None) -> DataFrame:
+def shortest_paths(priced: DataFrame, starts: DataFrame, targets: DataFrame | None = None, rounds: int | None = 50, max_cost: float | None = None) -> DataFrame:
     """(start, node, cost, path) of the cheapest path from each start to every node, or to ``targets``.
 
-    Frontier relaxation: only nodes whose cost fell are expanded. Equal costs are settled by the path of least ids.
+    Frontier relaxation: only nodes whose cost fell are expanded, for ``rounds`` edges or, with None, until no cost falls. Equal costs are settled by the path of least ids.
     Dijkstra, A* without a heuristic and bidirectional search give this same result.
     """
     priced = shared.cut(priced.select("source", "target", "cost"), "priced")
     best = starts.select("start").distinct().select("start", F.col("start").alias("node"), F.lit(0.0).alias("cost"), F.array("start").alias("path"))
     best = shared.cut(best, "paths")
     frontier = best
-    for _ in range(rounds):
+    for _ in _rounds(rounds):
         f = frontier.select("start", F.col("node").alias("source"), F.col("cost").alias("_cost"), F.col("path").alias("_path"))
         step = f.join(priced, "source").where(~F.array_contains("_path", F.col("target")))
         step = step.select("start", F.col("target").alias("node"), F.round(F.col("_cost") + F.col("cost"), 9).alias("cost"), F.concat("_path", F.array("target")).alias("path"))
@@ -116,12 +124,42 @@ def simple_paths(edges: DataFrame, starts: DataFrame, high: int) -> DataFrame:
     return found
 
 
-def k_shortest(priced: DataFrame, start: int, end: int, k: int = 3, high: int = 6) -> DataFrame:
-    """The k cheapest simple paths (cost, path, rank) of at most ``high`` edges."""
-    one = priced.sparkSession.range(1).select(F.lit(start).cast("long").alias("start"))
-    from pyspark.sql import Window
+def _cheap_paths(priced: DataFrame, start: int, end: int, k: int) -> DataFrame:
+    """(start, node, cost, path) of the simple paths from start to end that cost no more than the k-th cheapest.
+
+    The cheapest ways to and from each edge make simple paths, whose k-th cost is a bound. All paths are grown of which the
+    cost so far and the cheapest rest stay within it; with fewer than k such paths there is no bound.
+    """
+    node = lambda x: priced.sparkSession.range(1).select(F.lit(x).cast("long").alias("start"))
+    priced = shared.cut(priced.select("source", "target", "cost").where("source <> target"), "priced")
+    ahead = shortest_paths(priced, node(start), rounds=None).select(F.col("node").alias("source"), F.col("cost").alias("_a"), F.col("path").alias("_to"))
+    back = priced.select(F.col("target").alias("source"), F.col("source").alias("target"), "cost")
+    rest = shortest_paths(back, node(end), rounds=None).select(F.col("node").alias("target"), F.col("cost").alias("_b"), F.reverse("path").alias("_from"))
+    via = priced.join(ahead, "source").join(rest, "target").select((F.col("_a") + F.col("cost") + F.col("_b")).alias("cost"), F.concat("_to", "_from").alias("path"))
+    via = via.where(F.size(F.array_distinct("path")) == F.size("path")).groupBy("path").agg(F.min("cost").alias("cost"))
+    known = [r["cost"] for r in via.orderBy("cost").limit(k).collect()]
+    links = priced.join(rest.select("target", "_b"), "target").select(F.col("source").alias("_s"), F.col("target").alias("_t"), F.col("cost").alias("_c"), "_b")
+    if len(known) == k:
+        links = links.where(F.col("_c") + F.col("_b") <= known[-1] + 1e-6)  # above the rounding of sums
+    links = shared.cut(links, "links")
+    level = node(start).select("start", F.col("start").alias("node"), F.lit(0.0).alias("cost"), F.array("start").alias("path"))
+    found = level.where("false")
+    while start != end:
+        level = level.where(F.col("node") != end).join(links, F.col("node") == F.col("_s")).where(~F.array_contains("path", F.col("_t")))
+        level = level.select("start", F.col("_t").alias("node"), F.round(F.col("cost") + F.col("_c"), 9).alias("cost"), F.concat("path", F.array("_t")).alias("path"), "_b")
+        if len(known) == k:
+            level = level.where(F.col("cost") + F.col("_b") <= known[-1] + 1e-6)
+        level = shared.cut(level.drop("_b"), "paths")
+        if level.isEmpty():
+            break
+        found = found.unionByName(level.where(F.col("node") == end))
+    return found
 
-    paths = simple_paths(priced, one, high).where(F.col("node") == end)
+
+def k_shortest(priced: DataFrame, start: int, end: int, k: int = 3, high: int | None = 6) -> DataFrame:
+    """The k cheapest simple paths (cost, path, rank) of at most ``high`` edges, or with None of any number."""
+    one = priced.sparkSession.range(1).select(F.lit(start).cast("long").alias("start"))
+    paths = _cheap_paths(priced, start, end, k) if high is None else simple_paths(priced, one, high).where(F.col("node") == end)
     ranked = paths.withColumn("rank", F.row_number().over(Window.partitionBy("start", "node").orderBy("cost", "path")))
     return ranked.where(F.col("rank") <= k).select("cost", "path", "rank")
 
@@ -179,11 +217,11 @@ def traverse(
     return every.join(longer, "path", "left_anti").where(F.size("path") > low).select("path")
 
 
-def temporal_reach(edges: DataFrame, starts: DataFrame, since: int | None = None, until: int | None = None, min_weight: float | None = None, hops: int = 10) -> DataFrame:
+def temporal_reach(edges: DataFrame, starts: DataFrame, since: int | None = None, until: int | None = None, min_weight: float | None = None, hops: int | None = 10) -> DataFrame:
     """(start, node, arrival, hops, path): earliest arrival over edges recorded in non-decreasing order.
 
     An edge may be followed when its created_at is not before the arrival at its source. ``starts``
-    has a column start. Of equal arrivals the path of fewer hops, then of least ids, is kept.
+    has a column start; with ``hops`` None routes may have any number of edges. Of equal arrivals the path of fewer hops, then of least ids, is kept.
     """
     e = edges if since is None else edges.where(F.col("created_at") >= since)
     e = e if until is None else e.where(F.col("created_at") <= until)
@@ -192,7 +230,7 @@ def temporal_reach(edges: DataFrame, starts: DataFrame, since: int | None = None
     zero = F.lit(since if since is not None else 0).cast("long")
     best = starts.select("start").distinct().select("start", F.col("start").alias("node"), zero.alias("arrival"), F.lit(0).alias("hops"), F.array("start").alias("path"))
     frontier = best
-    for _ in range(hops):
+    for _ in _rounds(hops):
         step = frontier.join(e, (F.col("node") == F.col("_s")) & (F.col("_at") >= F.col("arrival")))
         step = step.select("start", F.col("_t").alias("node"), F.struct(F.col("_at").alias("arrival"), (F.col("hops") + 1).alias("hops"), F.concat("path", F.array("_t")).alias("path")).alias("new"))
         least = step.groupBy("start", "node").agg(F.min("new").alias("new"))

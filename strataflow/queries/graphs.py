@@ -177,6 +177,13 @@ def temporal_reachability(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paths.temporal_reach(chain(spark, sf_dir), start, hops=3).select("node", "arrival")
 
 
+@query()
+def temporal_reachability_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Earliest arrivals from one user over routes of any length."""
+    start = spark.range(1).withColumnRenamed("id", "start")
+    return paths.temporal_reach(chain(spark, sf_dir), start, hops=None).select("node", "arrival")
+
+
 @query(
     f"with p as (select distinct l_partkey p from lineitem where l_orderkey = 1), s as (select distinct l_suppkey s from lineitem where l_partkey in (select p from p)) "
     f"select {3 * SPAN} + p as node, 1 as depth from p union all select {4 * SPAN} + s, 2 from s"
@@ -209,6 +216,14 @@ def shortest_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out.where("node <> 0").select("node", "cost"), 6, "cost")
 
 
+@query()
+def shortest_paths_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cheapest paths of any length from one user."""
+    start = spark.range(1).withColumnRenamed("id", "start")
+    out = paths.shortest_paths(paths.costs(chain(spark, sf_dir)), start, rounds=None)
+    return rounded(out.where("node <> 0").select("node", "cost"), 6, "cost")
+
+
 @query(
     CHAIN + ", e as (select s, t, min(greatest(0.001, 1 - w / 200)) k from c group by 1, 2), p as (select round(k, 6) as cost, [s, t] path from e where s = 0 and t = 1 "
     "union all select round(a.k + b.k, 6), [0, a.t, 1] from e a join e b on a.t = b.s where a.s = 0 and b.t = 1 and a.t <> 0 and a.t <> 1) "
@@ -219,6 +234,13 @@ def k_shortest_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out.select("cost", F.array_join(F.transform("path", lambda x: x.cast("string")), "-").alias("path")), 6, "cost")
 
 
+@query()
+def k_shortest_paths_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three cheapest simple paths of any length between two users."""
+    out = paths.k_shortest(paths.costs(chain(spark, sf_dir)), 0, 1, k=3, high=None)
+    return rounded(out.select("cost", F.array_join(F.transform("path", lambda x: x.cast("string")), "-").alias("path")), 6, "cost")
+
+
 @query(
     "with o as (select user_id, event_type s, lead(event_type) over (partition by user_id order by ts, event_id) n from events), t as (select s, n, count(*) c from o where n is not null group by 1, 2) "
     "select s state, n next_state, c n, round(c / sum(c) over (partition by s), 9) as share from t"

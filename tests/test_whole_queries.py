@@ -1,11 +1,13 @@
 """Queries over whole tables and graphs against plain Python, on small tables with ids beyond the ranges that other queries keep to."""
 
 import datetime as dt
+import heapq
 import random
 from collections import Counter
 
 import pytest
 
+from strataflow.operators import paths
 from strataflow.queries import QUERIES
 
 START = dt.datetime(2024, 1, 1)
@@ -48,3 +50,64 @@ def test_statuses_of_all_customers(spark, small):
     expected.update((c[0], "none") for c in rows["customer"] if c[0] not in {o[1] for o in rows["orders"]})
     found = {(r.k, r.status): r.n for r in QUERIES["coalesce_case_fns_all"](spark, folder).collect()}
     assert found == expected and (900, "F") in found and (201, "none") in found
+
+
+@pytest.fixture(scope="module")
+def routes(spark, tmp_path_factory):
+    """A folder with events of nine users, and the edges between consecutive ones: (source, target, time, cost)."""
+    rng = random.Random(12)
+    folder = tmp_path_factory.mktemp("routes")
+    users = [0, 2, 3, 4, 5, 6, 1] + [rng.choice([0, 1, 2, 3, 4, 5, 6, 7, 8]) for _ in range(40)]
+    # cheap along the first seven events, dear elsewhere
+    events = [(i, START + dt.timedelta(hours=i), u, "click", rng.uniform(185, 199) if i < 7 else rng.uniform(0, 60), "{}") for i, u in enumerate(users)]
+    spark.createDataFrame(events, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(f"{folder}/events.parquet")
+    return str(folder), [(a[2], b[2], b[1], max(0.001, 1 - b[4] / 200)) for a, b in zip(events, events[1:])]
+
+
+def test_cheapest_paths_of_any_length_equal_dijkstra(spark, routes):
+    folder, edges = routes
+    dist, heap = {0: 0.0}, [(0.0, 0)]
+    while heap:
+        d, u = heapq.heappop(heap)
+        for a, b, _, c in edges:
+            if a == u and d == dist[u] and d + c < dist.get(b, 99):
+                dist[b] = d + c
+                heapq.heappush(heap, (d + c, b))
+    expected = {u: round(d, 6) for u, d in dist.items() if u}
+    assert {r.node: r.cost for r in QUERIES["shortest_paths_all"](spark, folder).collect()} == expected
+    assert {r.node: r.cost for r in QUERIES["shortest_paths"](spark, folder).collect()} != expected
+
+
+def test_earliest_arrivals_by_routes_of_any_length(spark, routes):
+    folder, edges = routes
+    arrival = {0: START}
+    for a, b, t, _ in edges:  # in order of time
+        if a in arrival and t >= arrival[a]:
+            arrival.setdefault(b, t)
+    nanos = lambda t: int((t - dt.datetime(1970, 1, 1)).total_seconds()) * 10**9
+    expected = {u: nanos(t) for u, t in arrival.items() if u}
+    assert {r.node: r.arrival for r in QUERIES["temporal_reachability_all"](spark, folder).collect()} == expected
+    assert {r.node: r.arrival for r in QUERIES["temporal_reachability"](spark, folder).collect()} != expected
+
+
+def simple_paths(edges, path, end):
+    if path[-1] == end:
+        yield path
+        return
+    for b in sorted({b for a, b, *_ in edges if a == path[-1] and b not in path}):
+        yield from simple_paths(edges, [*path, b], end)
+
+
+def test_k_cheapest_paths_of_any_length(spark, routes):
+    folder, edges = routes
+    cost = {}
+    for a, b, _, c in edges:
+        cost[a, b] = min(cost.get((a, b), 9), c)
+    every = sorted((round(sum(cost[x] for x in zip(p, p[1:])), 6), "-".join(map(str, p))) for p in simple_paths(edges, [0], 1))
+    found = sorted((r.cost, r.path) for r in QUERIES["k_shortest_paths_all"](spark, folder).collect())
+    assert found == every[:3] and max(p.count("-") for _, p in found) > 2
+    assert sorted((r.cost, r.path) for r in QUERIES["k_shortest_paths"](spark, folder).collect()) != found
+    priced = spark.createDataFrame([(*k, c) for k, c in cost.items()], "source long, target long, cost double")
+    more = paths.k_shortest(priced, 0, 1, k=40, high=None).orderBy("rank").collect()  # more than ways through single edges
+    assert [round(r.cost, 6) for r in more] == [c for c, _ in every[:40]]
+    assert paths.k_shortest(priced, 0, 0, k=2, high=None).collect() == []
