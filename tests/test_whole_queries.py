@@ -111,3 +111,97 @@ def test_k_cheapest_paths_of_any_length(spark, routes):
     more = paths.k_shortest(priced, 0, 1, k=40, high=None).orderBy("rank").collect()  # more than ways through single edges
     assert [round(r.cost, 6) for r in more] == [c for c, _ in every[:40]]
     assert paths.k_shortest(priced, 0, 0, k=2, high=None).collect() == []
+
+
+@pytest.fixture(scope="module")
+def shop(spark, tmp_path_factory):
+    """A folder with the tables of a small commerce graph, its nodes and its edges (source, target, weight)."""
+    rng = random.Random(21)
+    folder, at = tmp_path_factory.mktemp("shop"), START
+    rows = {
+        "region": ("r_regionkey int, r_name string", [(k, f"R{k}") for k in range(2)]),
+        "nation": ("n_nationkey int, n_name string, n_regionkey int", [(k, f"N{k}", k % 2) for k in range(3)]),
+        "customer": ("c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string", [(k, f"C{k}", k % 3, 1.0, "X") for k in range(1, 6)]),
+        "supplier": ("s_suppkey long, s_name string, s_nationkey int, s_acctbal double", [(k, f"S{k}", k % 3, 1.0) for k in range(1, 4)]),
+        "part": ("p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double", [(k, f"P{k}", "b", "t", 1, 1.0) for k in range(1, 5)]),
+        "orders": ("o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string", [(k, rng.randint(1, 5), "F", 1.0, at, "5-LOW") for k in range(1, 9)]),
+        "lineitem": (
+            "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+            [(rng.randint(1, 8), rng.randint(1, 4), rng.randint(1, 3), k, 1.0, 1.0, rng.randint(1, 10) / 100, 0.0, "N", "O", at) for k in range(1, 21)],
+        ),
+    }
+    for name, (schema, data) in rows.items():
+        spark.createDataFrame(data, schema).write.parquet(f"{folder}/{name}.parquet")
+    kinds = {"customer": 1, "orders": 2, "part": 3, "supplier": 4, "nation": 5, "region": 6}
+    nodes = [kind * 10**12 + x[0] for name, kind in kinds.items() for x in rows[name][1]]
+    n = lambda kind, key: kind * 10**12 + key
+    edges = [(n(1, x[1]), n(2, x[0]), 1.0) for x in rows["orders"][1]] + [(n(1, x[0]), n(5, x[2]), 1.0) for x in rows["customer"][1]] + [(n(4, x[0]), n(5, x[2]), 1.0) for x in rows["supplier"][1]]
+    edges += [(n(5, x[0]), n(6, x[2]), 1.0) for x in rows["nation"][1]] + [(n(2, x[0]), n(3, x[1]), x[6]) for x in rows["lineitem"][1]] + [(n(3, x[1]), n(4, x[2]), x[6]) for x in rows["lineitem"][1]]
+    return str(folder), nodes, edges
+
+
+def scores(df):
+    return {r[0]: r["score"] for r in df.collect()}
+
+
+@pytest.mark.parametrize("name", ["pagerank_all", "personalized_pagerank_all"])
+def test_pagerank_of_the_whole_graph(spark, shop, name):
+    folder, nodes, edges = shop
+    out = Counter(a for a, *_ in edges)
+    base = {u: 1 / len(nodes) if name == "pagerank_all" else float(u == 10**12 + 1) for u in nodes}
+    rank = dict(base)
+    for _ in range(400):
+        stuck = sum(rank[u] for u in nodes if not out[u])
+        new = {u: (0.15 + 0.85 * stuck) * base[u] for u in nodes}
+        for a, b, _w in edges:
+            new[b] += 0.85 * rank[a] / out[a]
+        rank = new
+    found = scores(QUERIES[name](spark, folder))
+    assert set(found) == set(nodes) and all(abs(found[u] - rank[u]) < 1e-7 for u in nodes)
+
+
+def test_degree_closeness_betweenness_and_eigenvector_of_the_whole_graph(spark, shop):
+    folder, nodes, edges = shop
+    n, after, dist, ways = len(nodes), {u: {b for a, b, _ in edges if a == u} for u in nodes}, {}, {}
+    for s in nodes:
+        dist[s], ways[s], level = {s: 0}, Counter({s: 1}), [s]
+        while level:
+            for u in level:
+                for v in after[u]:
+                    if dist[s].setdefault(v, dist[s][u] + 1) == dist[s][u] + 1:
+                        ways[s][v] += ways[s][u]
+            level = [v for v, d in dist[s].items() if d == dist[s][level[0]] + 1]
+    out = Counter(a for a, *_ in edges)
+    close = {s: (len(d) - 1) ** 2 / sum(d.values()) / (n - 1) if len(d) > 1 else 0.0 for s, d in dist.items()}
+    between = {v: sum(ways[s][v] * ways[v][t] / ways[s][t] for s in nodes if s != v and v in dist[s] for t in dist[v] if t not in (s, v) and dist[s][v] + dist[v][t] == dist[s][t]) / (n - 1) / (n - 2) for v in nodes}
+    for name, expected in {"degree_centrality_all": {u: out[u] / (n - 1) for u in nodes}, "closeness": close, "betweenness": between, "eigenvector": dict.fromkeys(nodes, 0.0)}.items():
+        found = scores(QUERIES[name](spark, folder))
+        assert set(found) == set(nodes) and all(abs(found[u] - expected[u]) < 1e-8 for u in nodes), name
+
+
+def modularity(edges, of):
+    m = sum(w for *_, w in edges)
+    inner, degree = Counter(), Counter()
+    for a, b, w in edges:
+        degree[of[a]] += w
+        degree[of[b]] += w
+        inner[of[a]] += w * (of[a] == of[b])
+    return sum(inner[c] / m - (degree[c] / 2 / m) ** 2 for c in degree)
+
+
+def test_communities_of_the_whole_graph(spark, shop):
+    folder, nodes, edges = shop
+    up = {a: b for a, b, _ in edges if b >= 5 * 10**12}
+    region = {u: up[up[u]] if u in up and up[u] in up else up.get(u, u) for u in nodes}
+    region |= {b: region[a] for a, b, _ in edges if 2 * 10**12 <= b < 3 * 10**12}
+    assert abs(QUERIES["modularity_by_region_all"](spark, folder).first()[0] - modularity(edges, region)) < 1e-8
+    found = {r.node: r.community for r in QUERIES["louvain"](spark, folder).collect()}
+    assert set(found) == set(nodes) and modularity(edges, found) > modularity(edges, {u: u for u in nodes}) + 0.1
+    found = {r.node: r.community for r in QUERIES["label_propagation"](spark, folder).collect()}
+    assert set(found) == set(nodes)
+    for u in nodes:  # settled: no other label has more weight around a node
+        votes = Counter()
+        for a, b, w in edges:
+            if u in (a, b):
+                votes[found[b if u == a else a]] += w
+        assert not votes or votes[found[u]] >= max(votes.values()) - 1e-9
