@@ -7,6 +7,7 @@ needs of the whole graph (dangling mass, norms) is one row.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -103,7 +104,7 @@ def eigenvector_centrality(nodes: DataFrame, edges: DataFrame, rounds: int = 100
     return value.select(F.col("id").alias("node"), "score")
 
 
-def closeness_centrality(nodes: DataFrame, edges: DataFrame, high: int = 50) -> DataFrame:
+def closeness_centrality(nodes: DataFrame, edges: DataFrame, high: int | None = None) -> DataFrame:
     """(node, score): Wasserman-Faust closeness over outgoing paths."""
     from strataflow.operators.paths import reach
 
@@ -115,7 +116,7 @@ def closeness_centrality(nodes: DataFrame, edges: DataFrame, high: int = 50) ->
     return out.select(F.col("id").alias("node"), score.alias("score"))
 
 
-def betweenness_centrality(nodes: DataFrame, edges: DataFrame, high: int = 50) -> DataFrame:
+def betweenness_centrality(nodes: DataFrame, edges: DataFrame, high: int | None = None) -> DataFrame:
     """(node, score): Brandes' algorithm on distinct directed edges, unweighted, over (n - 1)(n - 2).
 
     The forward pass counts shortest paths level by level for all sources at once, the backward pass
@@ -126,7 +127,7 @@ def betweenness_centrality(nodes: DataFrame, edges: DataFrame, high: int = 50) -
     links = shared.cut(edges.select("source", "target").where("source <> target").distinct(), "links")
     level = ids.select(F.col("id").alias("root"), F.col("id").alias("node"), F.lit(0).alias("depth"), F.lit(1.0).alias("paths"))
     seen, levels = level, [level]
-    for depth in range(1, high + 1):
+    for depth in count(1) if high is None else range(1, high + 1):
         step = levels[-1].join(links, F.col("node") == F.col("source")).groupBy("root", F.col("target").alias("node")).agg(F.sum("paths").alias("paths"))
         new = shared.cut(step.join(seen.select("root", "node"), ["root", "node"], "left_anti").select("root", "node", F.lit(depth).alias("depth"), "paths"), "level")
         if new.isEmpty():

@@ -36,18 +36,18 @@ def directed(edges: DataFrame, direction: str = "out") -> DataFrame:
     raise ValueError(f"unknown direction {direction!r}")
 
 
-def reach(edges: DataFrame, starts: DataFrame, low: int = 1, high: int = 10, direction: str = "out") -> DataFrame:
-    """(start, node, depth): nodes within ``high`` hops of each start, once, at their least depth.
+def reach(edges: DataFrame, starts: DataFrame, low: int = 1, high: int | None = 10, direction: str = "out") -> DataFrame:
+    """(start, node, depth): nodes within ``high`` hops of each start, or with None any number, once, at their least depth.
 
     ``starts`` has a column ``start``. Starts are not in their own result; ``low`` applies to the least depth.
     """
     links = directed(edges, direction).distinct()
     frontier = starts.select("start").distinct().select("start", F.col("start").alias("node"))
     seen = frontier.select("start", "node", F.lit(0).alias("depth"))
-    rounds = high > ONE_PLAN
+    rounds = high is None or high > ONE_PLAN
     if rounds:
         links = shared.cut(links, "reach-links")
-    for depth in range(1, high + 1):
+    for depth in _rounds(high):
         step = frontier.join(links, F.col("node") == F.col("source")).select("start", F.col("target").alias("node")).distinct()
         frontier = step.join(seen, ["start", "node"], "left_anti")
         if rounds:
@@ -55,7 +55,8 @@ def reach(edges: DataFrame, starts: DataFrame, low: int = 1, high: int = 10, dir
             if frontier.isEmpty():
                 break
         seen = seen.unionByName(frontier.select("start", "node", F.lit(depth).alias("depth")))
-    return seen.where(F.col("depth").between(max(low, 1), high))
+    found = seen.where(F.col("depth") >= max(low, 1))
+    return found if high is None else found.where(F.col("depth") <= high)
 
 
 def neighbours(edges: DataFrame, start: int, hops: int, direction: str = "out") -> DataFrame:
@@ -86,7 +87,7 @@ def costs(edges: DataFrame) -> DataFrame:
     return edges.groupBy("source", "target").agg(F.min(edge_cost(F.col("cost_signal"))).alias("cost"))
 
 
-def shortest_paths(priced: DataFrame, starts: DataFrame, targets: DataFrame | None = None, rounds: int | None = 50, max_cost: float | None = None) -> DataFrame:
+def shortest_paths(priced: DataFrame, starts: DataFrame, targets: DataFrame | None = None, rounds: int | None = None, max_cost: float | None = None) -> DataFrame:
     """(start, node, cost, path) of the cheapest path from each start to every node, or to ``targets``.
 
     Frontier relaxation: only nodes whose cost fell are expanded, for ``rounds`` edges or, with None, until no cost falls. Equal costs are settled by the path of least ids.

@@ -7,7 +7,7 @@ from collections import Counter
 
 import pytest
 
-from strataflow.operators import paths
+from strataflow.operators import centrality, paths
 from strataflow.queries import QUERIES
 
 START = dt.datetime(2024, 1, 1)
@@ -205,3 +205,13 @@ def test_communities_of_the_whole_graph(spark, shop):
             if u in (a, b):
                 votes[found[b if u == a else a]] += w
         assert not votes or votes[found[u]] >= max(votes.values()) - 1e-9
+
+
+def test_searches_go_beyond_fifty_hops(spark):
+    """By the operators' defaults, along a chain of 53 nodes."""
+    n = 53
+    edges = spark.createDataFrame([(i, i + 1, 0.5) for i in range(n - 1)], "source long, target long, cost double").coalesce(1)
+    one = spark.createDataFrame([(0,)], "start long")
+    assert {r.node: r.cost for r in paths.shortest_paths(edges, one).collect()} == {i: i / 2 for i in range(n)}
+    close = scores(centrality.closeness_centrality(spark.range(n).coalesce(1), edges))
+    assert abs(close[0] - (n - 1) / (n * (n - 1) / 2)) < 1e-12
