@@ -7,7 +7,7 @@ neighbours is one row per task, and the joins are plain ones, whose skew adaptiv
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from strataflow import shared
@@ -27,19 +27,25 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
     return out.where("u > v").distinct()
 
 
+def _round(links: DataFrame, name: str) -> tuple[str, tuple]:
+    """Write links; the path, and their number and checksum, which the writing itself observes."""
+    seen = Observation()
+    path = shared.write(links.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum")), name)
+    return path, (seen.get["n"], seen.get["sum"])
+
+
 def components(links: DataFrame, name: str = "links") -> DataFrame:
     """node, component (the least node it reaches) of every node on a link; links are (u, v), any order."""
     spark = links.sparkSession
     now = links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    path = shared.write(now, name)
+    path, state = _round(now, name)
     mark = None
     while True:
         table = spark.read.schema(now.schema).parquet(path)
-        state = table.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(state) == mark or not state[0]:
+        if state == mark or not state[0]:
             break
-        mark = tuple(state)
-        after = shared.write(_star(_star(table, True), False), name)
+        mark = state
+        after, state = _round(_star(_star(table, True), False), name)
         shared.remove(spark, path)
         path = after
     # every link is now (node, component)

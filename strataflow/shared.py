@@ -1,44 +1,89 @@
 """Tables written to the folder that all executors share, to cut the lineage of iterative plans.
 
-The folder is the session's ``spark.checkpoint.dir``; only where that is unset (tests, notebooks) a
-local one is used. A written table survives the loss of executors.
+The folder is the session's ``spark.checkpoint.dir``. Only a session whose master is local may leave it
+unset: then a local one is used. A written table survives the loss of executors. ``tidy`` deletes an
+operator's tables, but for those that its result reads.
 """
 
 from __future__ import annotations
 
-import gc
 import tempfile
+import threading
 import uuid
+from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Spark's own setting: the shuffle files of an execution are deleted when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_local = threading.local()
+
+
+def _open() -> list[list[str]]:
+    """Paths written by each tidy() call that is running in this thread, the innermost last."""
+    if not hasattr(_local, "open"):
+        _local.open = []
+    return _local.open
+
 
 def folder(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and spark.conf.get("spark.master", "local").split("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return (base or f"{tempfile.gettempdir()}/strataflow-shared").rstrip("/")
 
 
 def write(df: DataFrame, name: str) -> str:
-    """Write ``df`` as Parquet to a fresh path in the shared folder and return the path."""
-    path = f"{folder(df.sparkSession)}/strataflow/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return path
+    """Write ``df`` as Parquet to a fresh path in the shared folder and return the path.
 
+    Nothing reads the shuffle files behind it again, so they are deleted at once.
+    """
+    spark = df.sparkSession
+    path = f"{folder(spark)}/strataflow/{name}-{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    if _open():
+        _open()[-1].append(path)
+    return path
 
-def cut(df: DataFrame, name: str = "step", heavy: bool = False) -> DataFrame:
-    """The same rows, read back from a written table; ``heavy`` also gives back the shuffle files behind it."""
-    out = df.sparkSession.read.schema(df.schema).parquet(write(df, name))
-    if heavy:
-        release(df.sparkSession)
-    return out
 
+def cut(df: DataFrame, name: str = "step", narrow: bool = False, heavy: bool = False) -> DataFrame:
+    """The same rows, read back from a written table.
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished jobs: it does so once the driver's garbage is collected,
-    on the Python side, which holds plans in reference cycles, and then in the JVM."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    ``narrow``: the rows are far fewer and smaller than the input; they go to one file a core at most.
+    """
+    spark = df.sparkSession
+    path = write(df.coalesce(max(1, spark.sparkContext.defaultParallelism)) if narrow else df, name)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def tidy(f: Callable) -> Callable:
+    """Deletes the tables that ``f`` writes once it returns, but for those that the DataFrames it returns read."""
+
+    @wraps(f)
+    def run(*args, **kwargs):
+        _open().append([])
+        spark, kept = SparkSession.getActiveSession(), []
+        try:
+            out = f(*args, **kwargs)
+            results = [x for x in (out if isinstance(out, tuple) else (out,)) if isinstance(x, DataFrame)]
+            read = {part for x in results for file in x.inputFiles() for part in file.split("/")}
+            kept = [p for p in _open()[-1] if p.rsplit("/", 1)[-1] in read]
+            spark = results[0].sparkSession if results else spark
+            return out
+        finally:
+            for path in set(_open().pop()).difference(kept):
+                remove(spark, path)
+            if _open():
+                _open()[-1].extend(kept)
+
+    return run
 
 
 def broadcast_if_small(df: DataFrame, rows: int = 1 << 18) -> DataFrame:
@@ -53,3 +98,7 @@ def remove(spark: SparkSession, path: str) -> None:
     """Delete a table that no later step reads."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Nothing is left to do: write() deletes shuffle files."""
