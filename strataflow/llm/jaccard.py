@@ -34,7 +34,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
@@ -44,7 +44,7 @@ from strataflow.operators.components import components
 
 K = 5
 FREQUENT = 1 << 20
-LOCAL = 1 << 21
+LOCAL = 1 << 20
 LIST = 4096
 SHORT = 32
 MOST_LIGHT = 12
@@ -223,20 +223,16 @@ def _bits(place: str, shift: int, width: int):
     return F.shiftright(F.col(place), shift).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
 
 
-def _list_key() -> list:
-    """A list of postings: the shingle and its salt."""
-    return [F.col("h"), _bits("place", 47, 15).alias("salt")]
-
-
-def _chosen(docs: DataFrame, ids: DataFrame, columns: list[tuple], emit):
-    """Rows that ``emit`` makes of the shingles of the documents named by ``ids`` (doc), and perhaps of a few more:
-    (ids, text indices, shingles, number of texts).
+def _chosen(docs: DataFrame, ids: DataFrame, columns: list[tuple], emitter):
+    """Rows that ``emitter()``, made once a task, makes of the shingles of the documents named by ``ids`` (doc), and perhaps
+    of a few more: (ids, text indices, shingles, number of texts).
 
     A bitmap of the ids keeps the texts of all others, and so every text, out of the shuffle.
     """
     bits = docs.sparkSession.sparkContext.broadcast(bitmap.build(ids, "doc"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        emit = emitter()
         for batch in batches:
             ids = np.asarray(batch.column("doc_id").cast(pa.int64()).fill_null(0))
             wanted = np.flatnonzero(bitmap.contains(bits.value, ids) & ~np.asarray(batch.column("doc_id").is_null()))
@@ -250,8 +246,13 @@ def _chosen(docs: DataFrame, ids: DataFrame, columns: list[tuple], emit):
 
 def _signature(ids, doc, h, n):
     """Parities of SIGNATURE hash buckets, as 64-bit words: sets differ in at least as many shingles as in bits."""
-    counts = np.bincount(doc * SIGNATURE + (h >> B.U64(20)).astype(np.int64) % SIGNATURE, minlength=n * SIGNATURE)
-    words = np.packbits((counts & 1).astype(np.uint8)).view(np.int64)
+    parts, step = [], 64  # sets at a time, so that their counters take 2 MB
+    bucket = (h >> B.U64(20)).astype(np.int64) % SIGNATURE
+    for low in range(0, n, step):
+        first, last = np.searchsorted(doc, (low, low + step))
+        counts = np.bincount((doc[first:last] - low) * SIGNATURE + bucket[first:last], minlength=min(step, n - low) * SIGNATURE)
+        parts.append(np.packbits((counts & 1).astype(np.uint8)))
+    words = np.concatenate(parts).view(np.int64)
     offsets = np.arange(n + 1, dtype=np.int32) * (SIGNATURE // 64)
     return [pa.array(ids), pa.array(np.bincount(doc, minlength=n)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(words))]
 
@@ -269,11 +270,11 @@ def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """
     longs = ArrayType(LongType(), False)
     ends = lambda p: p.select(F.explode(F.array("u", "v")).alias("doc"))
-    signs = _chosen(docs, ends(pairs), [("doc", LongType()), ("n", LongType()), ("sign", longs)], _signature)
+    signs = _chosen(docs, ends(pairs), [("doc", LongType()), ("n", LongType()), ("sign", longs)], lambda: _signature)
     both = pairs.select("u", "v").join(signs.toDF("u", "na", "a"), "u").join(signs.toDF("v", "nb", "b"), "v")
     bits = F.aggregate(F.zip_with("a", "b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    near = scratch.cut(both.where(9 * bits <= F.col("na") + F.col("nb")).select("u", "v"), "near", heavy=True)
-    sets = _chosen(docs, ends(near), [("doc", LongType()), ("shingles", longs)], _shingle_lists)
+    near = scratch.cut(both.where(9 * bits <= F.col("na") + F.col("nb")).select("u", "v"), "near", narrow=True)
+    sets = _chosen(docs, ends(near), [("doc", LongType()), ("shingles", longs)], lambda: _shingle_lists)
     both = near.join(sets.toDF("u", "a"), "u").join(sets.toDF("v", "b"), "v")
     return both.where(9 * F.size(F.array_intersect("a", "b")) >= 4 * (F.size("a") + F.size("b"))).select("u", "v")
 
@@ -292,9 +293,9 @@ def _open_lists(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     least = rows.groupBy("h").agg(F.min("n").alias("_m"))
     m = F.greatest(F.col("_m"), F.floor((4 * F.col("n") + 4) / 5))
     kept = rows.join(least, "h").where(9 * (F.col("n") - F.col("p")) >= 4 * (F.col("n") + m)).drop("_m")
-    kept = scratch.cut(kept, "open", heavy=True)
+    kept = scratch.cut(kept, "open")
     counts = kept.groupBy("h").agg(F.count("*").alias("_c"), F.min("component").alias("_c0"), F.max("component").alias("_c1")).where("_c0 < _c1")
-    return kept, scratch.cut(counts.select("h", "_c"), "counts")
+    return kept, scratch.cut(counts.select("h", "_c"), "counts", narrow=True)
 
 
 def _meetings(rows: DataFrame) -> DataFrame:
@@ -311,7 +312,7 @@ def _across(docs: DataFrame, members: DataFrame) -> DataFrame:
     The order is now by the shingles' exact frequency among these documents. What only one of them has comes
     first, and fills the prefixes of documents that merely share passages or a common ancestor: they meet no more.
     """
-    sets = _chosen(docs, members.select("doc"), [("doc", LongType()), ("shingles", ArrayType(LongType(), False))], _shingle_lists)
+    sets = _chosen(docs, members.select("doc"), [("doc", LongType()), ("shingles", ArrayType(LongType(), False))], lambda: _shingle_lists)
     sets = members.join(sets, "doc")
     rows = sets.select("doc", F.size("shingles").alias("n"), F.explode("shingles").alias("h"))
     counts = rows.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
@@ -321,7 +322,7 @@ def _across(docs: DataFrame, members: DataFrame) -> DataFrame:
     length = F.col("n") - F.floor((4 * F.col("n") + 4) / 5).cast("int") + 1
     heads = met.where(alone < length).select("doc", "n", alone.alias("_alone"), F.posexplode(F.slice("met", F.lit(1), length - alone)).alias("_i", "s"))
     heads = heads.select("doc", F.col("n").cast("long").alias("n"), (F.col("_alone") + F.col("_i")).cast("long").alias("p"), "s.h")
-    return _meetings(scratch.cut(heads.join(members, "doc"), "heads", heavy=True))
+    return _meetings(scratch.cut(heads.join(members, "doc"), "heads"))
 
 
 def _again(docs: DataFrame, members: DataFrame, known: tuple[np.ndarray, np.ndarray], long: DataFrame) -> DataFrame:
@@ -337,17 +338,23 @@ def _again(docs: DataFrame, members: DataFrame, known: tuple[np.ndarray, np.ndar
     h, first = np.unique(h[keep], return_index=True)
     shared = docs.sparkSession.sparkContext.broadcast((h, w[keep][first]))  # 16 MB at most
 
-    def emit(ids, doc, h, n):
-        sizes = np.bincount(doc, minlength=n)
-        d, g, _, p = _heads(Frequency(*shared.value), doc, h, sizes)
-        return [pa.array(ids[d]), pa.array(g.view(np.int64)), pa.array(sizes[d]), pa.array(p)]
+    def emitter():
+        frequency = Frequency(*shared.value)
+
+        def emit(ids, doc, h, n):
+            sizes = np.bincount(doc, minlength=n)
+            d, g, _, p = _heads(frequency, doc, h, sizes)
+            return [pa.array(ids[d]), pa.array(g.view(np.int64)), pa.array(sizes[d]), pa.array(p)]
+
+        return emit
 
-    rows = members.join(_chosen(docs, members.select("doc"), [(c, LongType()) for c in ("doc", "h", "n", "p")], emit), "doc")
+    rows = members.join(_chosen(docs, members.select("doc"), [(c, LongType()) for c in ("doc", "h", "n", "p")], emitter), "doc")
     rows, counts = _open_lists(rows)
     left = rows.join(counts.where(F.col("_c") > SHORT), "h").select("doc", "component").distinct()
-    return _meetings(rows.join(counts.where(F.col("_c") <= SHORT), "h").drop("_c")).unionByName(_across(docs, scratch.cut(left, "members")))
+    return _meetings(rows.join(counts.where(F.col("_c") <= SHORT), "h").drop("_c")).unionByName(_across(docs, scratch.cut(left, "members", narrow=True)))
 
 
+@scratch.tidy
 def links_and_sizes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n_shingles) of every row, and (node, component) of every linked document."""
     spark = docs.sparkSession
@@ -364,15 +371,12 @@ def links_and_sizes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     firsts = own.groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("v"), F.count("*").alias("c")).where("c > 1").drop("c")
     equal = own.join(firsts, ["n", "k1", "k2"]).select(F.col("doc_id").alias("u"), "v").where("u <> v")
 
-    posts = docs.select("doc_id", "text").mapInArrow(_poster(shared, most_light), POSTING)
-    posts = posts.repartition(*_list_key())
-    # the aggregation reads all columns, so that it and the join share one shuffle
-    hubs = posts.groupBy(*_list_key()).agg(F.min(F.struct("doc", "place")).alias("hub"), F.max("doc").alias("last"))
-    hubs = hubs.where("hub.doc < last or salt > 0").select(F.col("h").alias("_h"), F.col("salt").alias("_s"), "hub")
-    # lists with one member are most of all; what is left is small
-    lists = posts.join(hubs, (F.col("h") == F.col("_h")) & (_bits("place", 47, 15) == F.col("_s"))).drop("_h", "_s")
-    lists = lists.select("h", "doc", (_bits("place", 62, 1) == 1).alias("light"), _bits("place", 47, 15).alias("salt"), _bits("place", 23, 24).alias("n"), _bits("place", 0, 23).alias("p"), "hub")
-    lists = scratch.cut(lists, "lists", heavy=True)
+    posts = docs.select("doc_id", "text").mapInArrow(_poster(shared, most_light), POSTING).withColumn("salt", _bits("place", 47, 15))
+    # one shuffle and one sort; lists are bounded by their salts, and lists with one member, which are most of all, end here
+    whole = Window.partitionBy("h", "salt")
+    lists = posts.withColumns({"hub": F.min(F.struct("doc", "place")).over(whole), "last": F.max("doc").over(whole)}).where("hub.doc < last or salt > 0")
+    lists = lists.select("h", "doc", (_bits("place", 62, 1) == 1).alias("light"), "salt", _bits("place", 23, 24).alias("n"), _bits("place", 0, 23).alias("p"), "hub")
+    lists = scratch.cut(lists, "lists")
 
     # subsets: members of the two sizes are joined through one of each; every one of these is a link
     light = lists.where("light").select("h", "doc", "n", F.col("p").alias("m"))
@@ -385,32 +389,25 @@ def links_and_sizes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     salted = heavy.where("salt > 0").select("h", "hub").distinct()
     top = salted.groupBy("h").agg(F.min("hub").alias("top"))
     across = salted.join(top, "h").where("hub.doc <> top.doc").select(F.col("hub.doc").alias("u"), F.col("top.doc").alias("v"))
-    stars = scratch.cut(stars.unionByName(across).distinct(), "stars", heavy=True)
-    star_links = _verified(docs, stars)
-    star_links = scratch.cut(star_links, "star-links", heavy=True)
-    links = scratch.cut(equal.unionByName(subset_links).unionByName(star_links).distinct(), "links", heavy=True)
-    found = components(links, "star-components")
-    found = scratch.cut(found, "components")
-
-    # lists that still hold several components: a member in another one than the hub, or hubs in several
+    stars = scratch.cut(stars.unionByName(across).distinct(), "stars", narrow=True)
+    links = equal.unionByName(subset_links).unionByName(_verified(docs, stars))
+    found = scratch.cut(components(links, "star-components"), "components", narrow=True)
+
+    # lists that still hold several components
     members = scratch.broadcast_if_small(found)
-    ends = scratch.broadcast_if_small(found.select(F.col("node").alias("_hub"), F.col("component").alias("_hc")))
-    placed = heavy.join(members, F.col("doc") == F.col("node"), "left").join(ends, F.col("hub.doc") == F.col("_hub"), "left")
-    placed = placed.select("h", "salt", "doc", "n", "p", F.coalesce("component", "doc").alias("component"), F.coalesce("_hc", "hub.doc").alias("hub_component"))
-    placed = scratch.cut(placed, "placed", heavy=True)
-    split = placed.where("component <> hub_component").select("h")
-    apart = placed.where("salt > 0").groupBy("h").agg(F.min("hub_component").alias("c0"), F.max("hub_component").alias("c1")).where("c0 < c1").select("h")
-    mixed = scratch.cut(split.unionByName(apart).distinct(), "mixed-lists")
-    still, counts = _open_lists(placed.join(scratch.broadcast_if_small(mixed), "h", "left_semi").drop("salt", "hub_component"))
+    placed = heavy.join(members, F.col("doc") == F.col("node"), "left").select("h", "doc", "n", "p", F.coalesce("component", "doc").alias("component"))
+    mixed = placed.groupBy("h").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 < c1").select("h")
+    mixed = scratch.cut(mixed, "mixed-lists", narrow=True)
+    still, counts = _open_lists(placed.join(scratch.broadcast_if_small(mixed), "h", "left_semi"))
     # two documents of one list meet in a short list, or are both among those of long ones, which are joined again
     short = still.join(counts.where(F.col("_c") <= SHORT), "h").drop("_c")
     long = counts.where(F.col("_c") > SHORT)
-    members = scratch.cut(still.join(long, "h").select("doc", "component").distinct(), "members")
+    members = scratch.cut(still.join(long, "h").select("doc", "component").distinct(), "members", narrow=True)
     rest = _meetings(short).unionByName(_again(docs, members, known, long)).distinct()
     tried = stars.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    rest = scratch.cut(rest.join(tried, ["u", "v"], "left_anti"), "rest")
-    more = scratch.cut(_verified(docs, rest), "more", heavy=True)
-    return sizes, components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more), "components")
+    rest = scratch.cut(rest.join(tried, ["u", "v"], "left_anti"), "rest", narrow=True)
+    more = found.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(_verified(docs, rest))
+    return sizes, components(more, "components")
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:

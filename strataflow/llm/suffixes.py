@@ -576,13 +576,13 @@ def dedup(docs: DataFrame) -> DataFrame:
     shared = anchors.join(met, (F.col("h") == F.col("_h")) & (salt == F.col("_s")))
     shared = shared.groupBy("doc", "mark").agg(F.collect_list(F.struct("h", "flags")).alias("anchors"))
     # a document's anchors are fewer than its bytes; documents without shared ones end here, before texts are shuffled
-    shared = scratch.cut(shared, "shared", heavy=True)
+    shared = scratch.cut(shared, "shared")
     bits = spark.sparkContext.broadcast(bitmap.build(shared, "doc"))
     some = keyed.mapInArrow(_possible(bits), keyed.schema)
     wanted = some.join(shared.withColumnRenamed("doc", "_d").withColumnRenamed("mark", "_m"), (F.col("doc") == F.col("_d")) & (F.col("mark") == F.col("_m")))
-    candidates = scratch.cut(wanted.select("doc", "mark", "text", "anchors"), "candidates", heavy=True)
+    candidates = scratch.cut(wanted.select("doc", "mark", "text", "anchors"), "candidates")
     pieces = candidates.mapInArrow(_segment_rows, PIECE).repartition("h", "salt").sortWithinPartitions("h", "salt")
-    settled = scratch.cut(pieces.mapInArrow(_settle, PIECE), "settled", heavy=True)
+    settled = scratch.cut(pieces.mapInArrow(_settle, PIECE), "settled")
     across = settled.where("kind = 1").repartition("h").sortWithinPartitions("h", "salt").mapInArrow(_settle_across, PIECE)
     spans = settled.where("kind = 0").unionByName(across).groupBy("doc", "mark").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
     spans = spans.withColumnRenamed("doc", "_d").withColumnRenamed("mark", "_m")
