@@ -53,7 +53,7 @@ def write(df: DataFrame, name: str) -> str:
     return path
 
 
-def cut(df: DataFrame, name: str = "step", narrow: bool = False, heavy: bool = False) -> DataFrame:
+def cut(df: DataFrame, name: str = "step", narrow: bool = False) -> DataFrame:
     """The same rows, read back from a written table.
 
     ``narrow``: the rows are far fewer and smaller than the input; they go to one file a core at most.
@@ -98,7 +98,3 @@ def remove(spark: SparkSession, path: str) -> None:
     """Delete a table that no later step reads."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
-
-
-def release(spark: SparkSession) -> None:
-    """Nothing is left to do: write() deletes shuffle files."""
