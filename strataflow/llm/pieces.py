@@ -12,6 +12,11 @@ only when byte-pair merging leaves the two unmerged; exactly one admissible path
 merging yields. The test undoes merges of the two pieces at their border, for all candidates at once.
 Characters that are no piece fall back to bytes.
 
+A word of more than LONG characters is cut into overlapping blocks of one length, which advance together like
+words. Neighbouring blocks are joined where both have a border and its two pieces are admissible: then the
+whole path is admissible, and so the only one. Runs of spaces, whose pieces share one score, are merged by a heap
+of pairs, as is a word whose blocks find no such border; that takes n log n steps for n characters.
+
 Nulls: a null text has no pieces, like an empty one. U+2581 in a text decodes to a space, as in the
 format itself; ``round_trip`` is false there. Repeated rows get a row each; extra columns are not read.
 """
@@ -21,6 +26,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +37,7 @@ from strataflow.llm import scratch
 
 SPACE = "▁"
 CACHE_WORDS = 150_000
+LONG, BLOCK, LAP = 2048, 768, 128
 _WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 U64 = np.uint64
 _BASE = U64(0x9E3779B97F4A7C15)
@@ -105,6 +112,7 @@ class Codec:
         self.raw = {i: b"" if kind == 3 else (" \u2047 " if kind == 2 else p).encode() for i, (p, _, kind) in enumerate(model["pieces"])}
         self.raw.update({int(i): bytes([b]) for b, i in enumerate(self.byte) if i != model["unk"]})
         self.longest = max(len(p) for _, p, _ in normal)
+        self.chars = np.array([len(p) for p in self.text], dtype=np.int64)
         self.score = np.array([s for _, s, _ in model["pieces"]], dtype=np.float64)
         self.floor = self.score[[i for i, _, _ in normal]].min() - 10.0
         self.cache: dict[str, tuple[dict[str, bytes], dict[str, bytes]]] = {"": ({}, {}), SPACE: ({}, {})}
@@ -212,15 +220,70 @@ class Codec:
         return out.T, count
 
     def _merged(self, word: str) -> list[int]:
-        """Byte-pair merging as it is defined; for runs of spaces, whose pieces share one score."""
-        parts = list(word)
+        """Byte-pair merging as it is defined: the pair of the best rank first, the leftmost of equal ones."""
         ranks, ids = self.plain
-        while True:
-            best = min(((ranks[a + b], k) for k, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in ranks), default=None)
-            if best is None:
+        parts: list[str | None] = list(word)
+        n = len(parts)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(ranks[a + b], i, a + b) for i, (a, b) in enumerate(zip(word, word[1:])) if a + b in ranks]
+        heapify(heap)
+        while heap:
+            _, i, piece = heappop(heap)
+            j = after[i]
+            if parts[i] is None or j == n or parts[i] + parts[j] != piece:
+                continue  # one of the two has been merged since
+            parts[i], parts[j] = piece, None
+            k, h = after[j], before[i]
+            after[i] = k
+            if k < n:
+                before[k] = i
+                if piece + parts[k] in ranks:
+                    heappush(heap, (ranks[piece + parts[k]], i, piece + parts[k]))
+            if h >= 0 and parts[h] + piece in ranks:
+                heappush(heap, (ranks[parts[h] + piece], h, parts[h] + piece))
+        return [i for x in parts if x is not None for i in ([ids[x]] if x in ids else self._fallback(x))]
+
+    def _in_blocks(self, word: str) -> list[int] | None:
+        """Ids of a long word by blocks; None when two neighbours have no admissible border in their overlap."""
+        codes = np.frombuffer(word.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
+        n = len(codes)
+        begins = [max(0, k - LAP) for k in range(0, n, BLOCK)]
+        ends = [min(n, b + BLOCK + (2 * LAP if b else LAP)) for b in begins]
+        paths: list[tuple[np.ndarray, np.ndarray]] = []  # borders and the pieces that begin there
+        size = BLOCK + 2 * LAP
+        whole = [k for k in range(len(begins)) if ends[k] - begins[k] == size]
+        found: dict[int, np.ndarray] = {}
+        for low in range(0, len(whole), 256):
+            part = whole[low : low + 256]
+            pieces, count = self._best(np.stack([codes[begins[k] : ends[k]] for k in part]))
+            found.update((k, pieces[r, : count[r]][::-1].copy()) for r, k in enumerate(part))
+        for k in range(len(begins)):
+            if k not in found:
+                pieces, count = self._best(codes[None, begins[k] : ends[k]])
+                found[k] = pieces[0, : count[0]][::-1]
+            length = np.where(found[k] >= 0, self.chars[np.maximum(found[k], 0)], 1)
+            paths.append((begins[k] + np.cumsum(length) - length, found[k]))
+        out, start = [], 0
+        for k, (at, pieces) in enumerate(paths):
+            if k + 1 == len(paths):
+                out.append(pieces[at >= start])
                 break
-            parts[best[1] : best[1] + 2] = [parts[best[1]] + parts[best[1] + 1]]
-        return [i for x in parts for i in ([ids[x]] if x in ids else self._fallback(x))]
+            following, later = paths[k + 1]
+            borders = np.intersect1d(at[at > start], following[following > following[0]])
+            if not len(borders):
+                return None
+            a = pieces[np.searchsorted(at, borders) - 1]
+            b = later[np.searchsorted(following, borders)]
+            fits = (a < 0) | (b < 0)
+            test = np.flatnonzero(~fits)
+            fits[test] = self.unmerged(a[test], b[test])
+            borders = borders[fits]
+            if not len(borders):
+                return None
+            cut = int(borders[np.abs(borders - (begins[k + 1] + LAP)).argmin()])
+            out.append(pieces[(at >= start) & (at < cut)])
+            start = cut
+        return [y for x in np.concatenate(out).tolist() for y in ([x] if x >= 0 else self._fallback(chr(-1 - x)))]
 
     def _fallback(self, char: str) -> list[int]:
         return self.byte[list(char.encode("utf-8", "surrogatepass"))].tolist()
@@ -230,8 +293,9 @@ class Codec:
         out = [b""] * len(words)
         by_size: dict[int, list[int]] = {}
         for i, w in enumerate(words):
-            if self.model["bpe"] and w.startswith(SPACE * 2):
-                out[i] = np.array(self._merged(w), dtype="<i4").tobytes()
+            if self.model["bpe"] and (w.startswith(SPACE * 2) or len(w) > LONG):
+                ids = None if w.startswith(SPACE * 2) else self._in_blocks(w)
+                out[i] = np.array(self._merged(w) if ids is None else ids, dtype="<i4").tobytes()
             else:
                 by_size.setdefault(len(w), []).append(i)
         for size, members in by_size.items():
@@ -288,11 +352,23 @@ class Codec:
         return out
 
 
+_codecs: dict[str, Codec] = {}
+
+
+def _codec(shared) -> Codec:
+    """The codec of a broadcast (key, model). A worker keeps the last one, with its bounded cache of words, for later tasks."""
+    key, model = shared.value
+    if key not in _codecs:
+        _codecs.clear()
+        _codecs[key] = Codec(model)
+    return _codecs[key]
+
+
 def _model(docs: DataFrame, path: str):
-    """The model (its file bounds the size) as a broadcast. Each task builds its codec and drops it, with its cache, at its end."""
+    """The model (its file bounds the size) and a key that names it, as a broadcast."""
     scratch.bounded_batches(docs.sparkSession)
     model = load(path)
-    return docs.sparkSession.sparkContext.broadcast(model)
+    return docs.sparkSession.sparkContext.broadcast((hashlib.sha256(repr(model).encode()).hexdigest(), model))
 
 
 def _parts(texts: list, limit: int = 1 << 21) -> Iterator[list]:
@@ -308,11 +384,12 @@ def _parts(texts: list, limit: int = 1 << 21) -> Iterator[list]:
 
 
 def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """``docs`` with a column ``ids`` array<int>; the text column stays."""
+    """``docs`` with a column ``ids`` array<int>, in place of one of that name; the text column stays."""
+    docs = docs.drop(ids)
     shared = _model(docs, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(shared.value)
+        codec = _codec(shared)
         for batch in batches:
             found = [x for part in _parts(batch.column(text).to_pylist()) for x in codec.encode(part)]
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
@@ -324,11 +401,12 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
 
 
 def decode(docs: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
-    """``docs`` with a column ``decoded``; null ids decode to an empty text."""
+    """``docs`` with a column ``decoded``, in place of one of that name; null ids decode to an empty text."""
+    docs = docs.drop(text)
     shared = _model(docs, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(shared.value)
+        codec = _codec(shared)
         for batch in batches:
             found = codec.decode([np.asarray(x if x is not None else [], dtype=np.int64) for x in batch.column(ids).to_numpy(zero_copy_only=False)])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], [*batch.schema.names, text])
@@ -342,7 +420,7 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
     shared = _model(docs, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(shared.value)
+        codec = _codec(shared)
         for batch in batches:
             rows = []
             for part in _parts(batch.column("text").to_pylist()):

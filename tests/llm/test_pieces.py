@@ -50,6 +50,20 @@ def test_long_words_and_many_lengths(codec, library):
     assert [x.tolist() for x in codec.encode(texts)] == [library.encode(t) for t in texts]
 
 
+def test_very_long_words_and_runs_of_spaces(codec, library):
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(50_000)), "a" + " " * 50_000 + "b", "a" * 5000, "the" * 3000, "日本語é😀" * 1000]
+    texts += ["".join(rng.choice(["the", "ing", "qu", "zzz", "ation", "é", "0", "--"]) for _ in range(n)) for n in (900, 2000, 9000)]
+    assert [x.tolist() for x in codec.encode(texts)] == [library.encode(t) for t in texts]
+    assert codec._in_blocks("▁" + texts[0]) == library.encode(texts[0])
+
+
+def test_a_column_of_the_results_name_is_replaced(spark, library):
+    docs = util.documents(spark, [(1, "one two", "en", "a")]).selectExpr("*", "'x' ids", "'y' decoded")
+    r = pieces.decode(pieces.encode(docs, TOKENIZER), TOKENIZER).first()
+    assert r.ids == library.encode("one two") and r.decoded == "one two"
+
+
 def test_cache_generations(library, monkeypatch):
     monkeypatch.setattr(pieces, "CACHE_WORDS", 5)
     codec = pieces.Codec(pieces.load(TOKENIZER))
