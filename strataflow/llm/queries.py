@@ -49,8 +49,7 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    written = scratch.cut(warc.archives(warc.resolve(_table(spark, sf_dir, "pages"))), "warc")
-    return warc.read(written)
+    return warc.read(warc.write(_table(spark, sf_dir, "pages")))
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,16 +30,38 @@ def expected(rows):
 
 
 def test_archives_read_back(spark):
+    index = warc.write(pages(spark, ROWS))
+    got = sorted((tuple(r) for r in warc.read(index).collect()), key=str)
+    assert got == expected(ROWS)
+    assert sum(r.records for r in index.collect()) == len(ROWS)
+
+
+def test_many_ranges_and_archives(spark, monkeypatch):
+    import random
+
+    rng = random.Random(3)
+    rows = [(i, "u", "".join(rng.choice("abc <>\r\n") for _ in range(rng.choice([10, 99, 100, 5000, 40000]))) if i % 3 else BIG + str(i % 7)) for i in range(200)]
+    monkeypatch.setattr(warc, "RANGE_BYTES", 5000)
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 20000)
+    index = warc.write(pages(spark, rows).repartition(2))
+    assert index.count() > 20 and index.select("archive").distinct().count() > 5
+    assert sorted((tuple(r) for r in warc.read(index).collect()), key=str) == expected(rows)
+
+
+def test_more_revisits_than_a_broadcast_holds(spark, monkeypatch):
     from strataflow.llm import scratch
 
-    written = scratch.cut(warc.archives(warc.resolve(pages(spark, ROWS).withColumnRenamed("x", "y"))), "warc")
-    got = sorted((tuple(r) for r in warc.read(written).collect()), key=str)
-    assert got == expected(ROWS)
+    monkeypatch.setattr(scratch, "broadcast_if_small", lambda df: df)
+    assert sorted((tuple(r) for r in warc.read(warc.write(pages(spark, ROWS))).collect()), key=str) == expected(ROWS)
+
+
+def test_members_of_a_range():
+    parts = [b"", b"a" * 100_000, bytes(range(256)) * 500]
+    assert list(warc.members(b"".join(gzip.compress(p) for p in parts))) == parts
 
 
 def test_records_are_valid_and_headers_cannot_be_forged(spark, tmp_path):
-    table = warc.archives(warc.resolve(pages(spark, ROWS))).cache()
-    warc.export(table, str(tmp_path))
+    warc.write(pages(spark, ROWS), str(tmp_path))
     n = 0
     for f in tmp_path.iterdir():
         data = gzip.decompress(f.read_bytes())
@@ -54,11 +76,10 @@ def test_records_are_valid_and_headers_cannot_be_forged(spark, tmp_path):
             if fields["warc-type"] == "revisit":
                 assert fields["warc-profile"] == warc.PROFILE and len(block) < 120
     assert n == len(ROWS)
-    table.unpersist()
 
 
 def test_empty_table(spark):
-    assert warc.read(warc.archives(warc.resolve(pages(spark, [])))).collect() == []
+    assert warc.read(warc.write(pages(spark, []))).collect() == []
 
 
 def test_query_on_extra_columns(spark, tmp_path):
