@@ -27,9 +27,13 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
     return out.where("u > v").distinct()
 
 
-def _round(links: DataFrame, name: str) -> tuple[str, tuple]:
-    """Write links; the path, and their number and checksum, which the writing itself observes."""
+ROUND_ROWS = 1 << 20
+
+
+def _round(links: DataFrame, name: str, rows: int | None = None) -> tuple[str, tuple]:
+    """Write links, of which there are about ``rows``; the path, and their number and checksum, which the writing itself observes."""
     seen = Observation()
+    links = links if rows is None else links.coalesce(1 + rows // ROUND_ROWS)
     path = shared.write(links.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum")), name)
     return path, (seen.get["n"], seen.get["sum"])
 
@@ -45,7 +49,7 @@ def components(links: DataFrame, name: str = "links") -> DataFrame:
         if state == mark or not state[0]:
             break
         mark = state
-        after, state = _round(_star(_star(table, True), False), name)
+        after, state = _round(_star(_star(table, True), False), name, state[0])
         shared.remove(spark, path)
         path = after
     # every link is now (node, component)

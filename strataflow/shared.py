@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 #: Spark's own setting: the shuffle files of an execution are deleted when it ends.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: scan partitions that a task takes where their results are small, so that tables are not cut into very small files
+PACK = 8
 _local = threading.local()
 
 
@@ -53,13 +55,22 @@ def write(df: DataFrame, name: str) -> str:
     return path
 
 
-def cut(df: DataFrame, name: str = "step", narrow: bool = False) -> DataFrame:
-    """The same rows, read back from a written table.
+def tasks(df: DataFrame) -> int:
+    """How many tasks, and so files, a table derived from all of ``df`` is worth: PACK scan partitions each, two a core at least."""
+    spark = df.sparkSession
+    unit = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes", "128m"))
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(2 * spark.sparkContext.defaultParallelism, min(-(-size // (PACK * unit)), 1 << 20))
+
+
+def cut(df: DataFrame, name: str = "step", narrow: bool = False, files: int | None = None) -> DataFrame:
+    """The same rows, read back from a written table of at most ``files`` files.
 
     ``narrow``: the rows are far fewer and smaller than the input; they go to one file a core at most.
     """
     spark = df.sparkSession
-    path = write(df.coalesce(max(1, spark.sparkContext.defaultParallelism)) if narrow else df, name)
+    files = spark.sparkContext.defaultParallelism if narrow else files
+    path = write(df if files is None else df.coalesce(max(1, files)), name)
     return spark.read.schema(df.schema).parquet(path)
 
 
