@@ -158,7 +158,7 @@ def _heads(frequency: Frequency, doc: np.ndarray, h: np.ndarray, n: np.ndarray)
 
 
 def _poster(shared, most_light: int):
-    """Postings (h, doc, place) of documents; equal sets post once a task.
+    """Postings (h, doc, place) of documents; equal sets post once a task. h is the shingle, its top bits crossed with the salt.
 
     ``place`` packs, from the top: light (1 bit), salt (15), set size (24), position or the partner's size (23).
     """
@@ -174,8 +174,9 @@ def _poster(shared, most_light: int):
             out: list[list[np.ndarray]] = [[], [], []]
 
             def put(h, salt, doc, n, p, light):
-                place = np.int64(light) << 62 | np.asarray(salt, np.int64) << 47 | np.asarray(n, np.int64) << 23 | p
-                for column, value in zip(out, (h.view(np.int64), doc, np.broadcast_to(place, len(h)))):
+                salt = np.asarray(salt, np.int64)
+                place = np.int64(light) << 62 | salt << 47 | np.asarray(n, np.int64) << 23 | p
+                for column, value in zip(out, (h.view(np.int64) ^ salt << 48, doc, np.broadcast_to(place, len(h)))):
                     column.append(value)
 
             for low, high, doc, h in _sets(texts):
@@ -293,7 +294,7 @@ def _open_lists(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     least = rows.groupBy("h").agg(F.min("n").alias("_m"))
     m = F.greatest(F.col("_m"), F.floor((4 * F.col("n") + 4) / 5))
     kept = rows.join(least, "h").where(9 * (F.col("n") - F.col("p")) >= 4 * (F.col("n") + m)).drop("_m")
-    kept = scratch.cut(kept, "open")
+    kept = scratch.cut(kept, "open", narrow=True)
     counts = kept.groupBy("h").agg(F.count("*").alias("_c"), F.min("component").alias("_c0"), F.max("component").alias("_c1")).where("_c0 < _c1")
     return kept, scratch.cut(counts.select("h", "_c"), "counts", narrow=True)
 
@@ -322,7 +323,7 @@ def _across(docs: DataFrame, members: DataFrame) -> DataFrame:
     length = F.col("n") - F.floor((4 * F.col("n") + 4) / 5).cast("int") + 1
     heads = met.where(alone < length).select("doc", "n", alone.alias("_alone"), F.posexplode(F.slice("met", F.lit(1), length - alone)).alias("_i", "s"))
     heads = heads.select("doc", F.col("n").cast("long").alias("n"), (F.col("_alone") + F.col("_i")).cast("long").alias("p"), "s.h")
-    return _meetings(scratch.cut(heads.join(members, "doc"), "heads"))
+    return _meetings(scratch.cut(heads.join(members, "doc"), "heads", narrow=True))
 
 
 def _again(docs: DataFrame, members: DataFrame, known: tuple[np.ndarray, np.ndarray], long: DataFrame) -> DataFrame:
@@ -359,7 +360,7 @@ def links_and_sizes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n_shingles) of every row, and (node, component) of every linked document."""
     spark = docs.sparkSession
     scratch.bounded_batches(spark)
-    survey = scratch.cut(docs.select("doc_id", "text").mapInArrow(_survey, "doc_id long, n long, k1 long, k2 long"), "survey")
+    survey = scratch.cut(docs.select("doc_id", "text").mapInArrow(_survey, "doc_id long, n long, k1 long, k2 long"), "survey", files=scratch.tasks(docs))
     rows = survey.where("k2 is not null")
     sizes = rows.select("doc_id", F.col("n").alias("n_shingles"))
     small = rows.where((F.col("n") > 0) & (F.col("n") <= 2 * MOST_LIGHT)).groupBy("n").count().collect()  # 24 rows at most
@@ -369,14 +370,17 @@ def links_and_sizes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     own = rows.where("n > 0 and doc_id is not null")
     firsts = own.groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("v"), F.count("*").alias("c")).where("c > 1").drop("c")
+    firsts = scratch.broadcast_if_small(scratch.cut(firsts, "firsts", narrow=True))
     equal = own.join(firsts, ["n", "k1", "k2"]).select(F.col("doc_id").alias("u"), "v").where("u <> v")
 
-    posts = docs.select("doc_id", "text").mapInArrow(_poster(shared, most_light), POSTING).withColumn("salt", _bits("place", 47, 15))
+    posts = docs.select("doc_id", "text").mapInArrow(_poster(shared, most_light), POSTING)
     # one shuffle and one sort; lists are bounded by their salts, and lists with one member, which are most of all, end here
-    whole = Window.partitionBy("h", "salt")
-    lists = posts.withColumns({"hub": F.min(F.struct("doc", "place")).over(whole), "last": F.max("doc").over(whole)}).where("hub.doc < last or salt > 0")
-    lists = lists.select("h", "doc", (_bits("place", 62, 1) == 1).alias("light"), "salt", _bits("place", 23, 24).alias("n"), _bits("place", 0, 23).alias("p"), "hub")
-    lists = scratch.cut(lists, "lists")
+    whole, salt = Window.partitionBy("h"), _bits("place", 47, 15)
+    lists = posts.withColumns({"hub": F.min(F.struct("doc", "place")).over(whole), "last": F.max("doc").over(whole)}).where((F.col("hub.doc") < F.col("last")) | (salt > 0))
+    lists = lists.select(
+        F.col("h").bitwiseXOR(F.shiftleft(salt, 48)).alias("h"), "doc", (_bits("place", 62, 1) == 1).alias("light"), salt.alias("salt"), _bits("place", 23, 24).alias("n"), _bits("place", 0, 23).alias("p"), "hub",
+    )
+    lists = scratch.cut(lists, "lists", files=scratch.tasks(docs))
 
     # subsets: members of the two sizes are joined through one of each; every one of these is a link
     light = lists.where("light").select("h", "doc", "n", F.col("p").alias("m"))

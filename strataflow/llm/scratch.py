@@ -2,9 +2,9 @@
 
 from pyspark.sql import SparkSession
 
-from strataflow.shared import broadcast_if_small, cut, folder, remove, tidy, write
+from strataflow.shared import broadcast_if_small, cut, folder, remove, tasks, tidy, write
 
-__all__ = ["bounded_batches", "broadcast_if_small", "cut", "folder", "remove", "tidy", "write"]
+__all__ = ["bounded_batches", "broadcast_if_small", "cut", "folder", "remove", "tasks", "tidy", "write"]
 BATCH_ROWS = 2000
 
 
