@@ -2,15 +2,16 @@
 
 HTML is parsed into ordered elements, texts and media references, each with its position and, for
 media, its caption (figcaption, else alt). References name payloads by digest (``digest:<hex>``); a
-join on the digest resolves them, and positions keep text, media and captions aligned.
+join on the digest resolves them, and page numbers and positions keep text, media and captions aligned. Only
+elements that name a digest are joined, so texts are not shuffled by it.
 
 Payloads are stored as binary PGM images, 24 samples a row, 8 bits each: lossless, and self-describing.
 The payload is the UTF-8 text with bytes 255 appended up to a positive multiple of 576.
 
 Nulls: a null text is empty (its payload is 576 bytes 255), null html has no elements. A digest without a stored
 payload leaves the media columns null. Equal payloads may be stored more than once, in different
-tasks; the resolving table has one row per digest. Repeated rows get elements of their own; extra
-columns are not read, apart from the key.
+tasks; the resolving table has one row per digest. Repeated rows are pages of their own; very long pages are parsed
+whole, one at a time; an empty table has no sequences. Extra columns are not read, apart from the key.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -102,19 +104,25 @@ def elements(html: str | None) -> list[list]:
 
 
 def interleave(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
-    """key, position (from 0), kind, text, reference, digest (of digest: references) and caption."""
+    """key, page (a number of the row, so that rows with one key stay apart), position (from 0), kind, text, reference,
+    digest (of digest: references) and caption. Write it before use: pages are numbered as tasks read them."""
     kind = pages.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 40
         for batch in batches:
             found = [elements(x) for x in batch.column(html).to_pylist()]
             at = np.repeat(np.arange(len(found)), [len(f) for f in found])
             flat = [e for f in found for e in f]
             columns = [pa.array([e[i] for e in flat], pa.string()) for i in range(4)]
             place = pa.array([i for f in found for i in range(len(f))], pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(at, pa.int64())), place, *columns], [key, "position", "kind", "text", "reference", "caption"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(key).take(pa.array(at, pa.int64())), pa.array(number + at, pa.int64()), place, *columns], [key, "page", "position", "kind", "text", "reference", "caption"]
+            )
+            number += len(found)
 
-    out = pages.select(key, html).mapInArrow(run, f"{key} {kind}, position int, kind string, text string, reference string, caption string")
+    scratch.bounded_batches(pages.sparkSession)
+    out = pages.select(key, html).mapInArrow(run, f"{key} {kind}, page long, position int, kind string, text string, reference string, caption string")
     return out.withColumn("digest", F.regexp_extract("reference", "^digest:([0-9a-f]{64})$", 1)).withColumn("digest", F.when(F.col("digest") != "", F.col("digest")))
 
 
@@ -176,19 +184,19 @@ def feature(width: int, height: int, data: bytes) -> str:
     return f"{width}x{height}:{mean:.4f}:{deviation:.4f}:{-(p * np.log2(p)).sum():.4f}:{bits:016x}"
 
 
-FEATURES = "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+FEATURES = "digest string, content_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
 def read_back(media: DataFrame) -> DataFrame:
-    """FEATURES of every stored payload, from the stored bytes alone."""
+    """FEATURES of every stored payload, from the stored bytes alone. content_bytes: without the filling; UTF-8 has no byte 255."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for digest, stored in zip(batch.column("digest").to_pylist(), batch.column("media").to_pylist()):
                 width, height, data = from_image(stored)
-                rows.append((digest, len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-32:]), len(stored), hashlib.sha256(stored).hexdigest(), feature(width, height, data)))
-            columns = list(zip(*rows)) or [()] * 7
+                rows.append((digest, len(data.rstrip(b"\xff")), len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-32:]), len(stored), hashlib.sha256(stored).hexdigest(), feature(width, height, data)))
+            columns = list(zip(*rows)) or [()] * 8
             kinds = [pa.int64() if f.split()[1] == "long" else pa.string() for f in FEATURES.split(", ")]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], [f.split()[0] for f in FEATURES.split(", ")])
 
@@ -196,27 +204,36 @@ def read_back(media: DataFrame) -> DataFrame:
 
 
 def resolve(sequence: DataFrame, features: DataFrame) -> DataFrame:
-    """``sequence`` with the features of the payload that each element's digest names."""
-    names = [f.split()[0] for f in FEATURES.split(", ")][1:]
+    """``sequence`` (a written table) with the features of the payload that each element's digest names."""
+    fields = [f.split() for f in FEATURES.split(", ")][1:]
     # written, so that the join's sides are plain shuffles, of which adaptive execution splits a hot digest's
-    one = scratch.cut(features.groupBy("digest").agg(*(F.min(n).alias(n) for n in names)).withColumnRenamed("digest", "_digest"), "payloads")
-    return sequence.join(one, F.col("digest") == F.col("_digest"), "left").drop("_digest")
+    one = scratch.cut(features.groupBy("digest").agg(*(F.min(n).alias(n) for n, _ in fields)).withColumnRenamed("digest", "_digest"), "payloads")
+    named = sequence.where("digest is not null").join(one, F.col("digest") == F.col("_digest"), "left").drop("_digest")
+    return named.unionByName(sequence.where("digest is null").select("*", *(F.lit(None).cast(kind).alias(n) for n, kind in fields)))
 
 
 def sequences(resolved: DataFrame, key: str = "page_id") -> DataFrame:
-    """key and its elements as one array of structs, in order of position."""
-    columns = [c for c in resolved.columns if c != key]
+    """key, page and its elements as one array of structs, in order of position."""
+    columns = [c for c in resolved.columns if c not in (key, "page")]
     ordered = ["position", *(c for c in columns if c != "position")]
-    return resolved.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*ordered))).alias("elements"))
+    return resolved.groupBy(key, "page").agg(F.array_sort(F.collect_list(F.struct(*ordered))).alias("elements"))
+
+
+def _escaped(text: Column) -> Column:
+    for plain, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        text = F.replace(text, F.lit(plain), F.lit(entity))
+    return text
 
 
 def documents_as_pages(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes and html: a figure that refers to the document's payload by digest."""
+    """doc_id and html: the first half of the text, a figure that names the whole text's payload by digest, and the second half."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    half = F.floor(F.char_length(text) / 2).cast("int")
     return docs.select(
         "doc_id",
-        F.octet_length(F.coalesce(F.col("text"), F.lit("")).cast("binary")).cast("long").alias("n_bytes"),
         F.concat(
-            F.lit('<article><figure><img src="digest:'), F.sha2(payload(F.col("text")), 256), F.lit('"><figcaption>'),
-            F.octet_length(F.coalesce(F.col("text"), F.lit("")).cast("binary")).cast("string"), F.lit("</figcaption></figure></article>"),
+            F.lit("<article><p>"), _escaped(F.substring(text, F.lit(1), half)), F.lit('</p><figure><img src="digest:'), F.sha2(payload(F.col("text")), 256),
+            F.lit('"><figcaption>'), F.concat_ws(" ", F.lit("Document"), F.col("doc_id").cast("string")), F.lit("</figcaption></figure><p>"),
+            _escaped(F.substring(text, half + 1, F.char_length(text))), F.lit("</p></article>"),
         ).alias("html"),
     )

@@ -28,12 +28,16 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_media_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     stored = scratch.cut(media.store(docs.select(media.payload(F.col("text")).alias("payload"))), "media")
-    features = media.read_back(stored)
-    pages = media.documents_as_pages(docs)
-    sequence = media.resolve(media.interleave(pages, "doc_id").where("kind = 'media'"), features)
-    return sequence.select(
-        "doc_id", F.col("caption").cast("long").alias("n_bytes"), "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position"
-    )
+    elements = media.interleave(media.documents_as_pages(docs), "doc_id")
+    # the result has digests of the texts, so these alone are written and shuffled
+    elements = scratch.cut(elements.withColumn("text", F.sha2("text", 256)), "elements")
+    pages = media.sequences(media.resolve(elements, media.read_back(stored)), "doc_id")
+    kind = lambda k: F.filter("elements", lambda e: e["kind"] == k)
+    named = ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
+    return pages.withColumn("m", kind("media")[0]).select(
+        "doc_id", F.col("m.content_bytes").alias("n_bytes"), *(F.col(f"m.{c}").alias(c) for c in named), F.size("elements").alias("n_elements"),
+        F.transform(kind("text"), lambda e: e["text"]).alias("texts_sha256"),
+    )
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

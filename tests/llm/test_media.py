@@ -4,7 +4,7 @@ import zlib
 from hypothesis import given
 from hypothesis import strategies as st
 
-from strataflow.llm import media
+from strataflow.llm import media, scratch
 from strataflow.llm.queries import op2_media_sequences
 from tests.llm import util
 
@@ -30,7 +30,8 @@ def test_images_round_trip(data):
 
 
 def test_query_equals_brute_force(spark, tmp_path):
-    rows = util.edge_rows(2, 50) + [(5000, "x" * 576, "en", "a"), (5001, "x" * 577, "en", "a"), (5002, "é" * 288, "en", "a"), (5003, "a\nb\n", "en", "a")]
+    rows = util.edge_rows(2, 50) + [(5000, "x" * 576, "en", "a"), (5001, "x" * 577, "en", "a"), (5002, "é" * 288, "en", "a"), (5003, "a\nb\n", "en", "a"), (5004, "1 < 2 && <b>3</b> &amp; <!-- x --> &lt; \r\n<script>", "en", "a"), (None, "no id", "en", "a")]
+    rows += [(5001, "x" * 577, "en", "a"), (5005, "a < b " * 300_000, "en", "a")]
     util.documents(spark, rows, extra=True).write.parquet(str(tmp_path / "documents.parquet"))
     got = op2_media_sequences(spark, str(tmp_path)).collect()
     assert len(got) == len(rows)
@@ -41,8 +42,12 @@ def test_query_equals_brute_force(spark, tmp_path):
         data = raw + b"\xff" * (-len(raw) % 576 if raw else 576)
         image = media.to_image(data)
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-32:]))
-        assert (r.media_bytes, r.media_sha256, r.position) == (len(image), hashlib.sha256(image).hexdigest(), 0)
+        assert (r.media_bytes, r.media_sha256) == (len(image), hashlib.sha256(image).hexdigest())
         assert features.setdefault(data, r.feature) == r.feature
+        text = texts[r.doc_id] or ""
+        halves = [" ".join(h.split()) for h in (text[: len(text) // 2], text[len(text) // 2 :])]
+        assert r.texts_sha256 == [hashlib.sha256(h.encode()).hexdigest() for h in halves if h]
+        assert (r.position, r.n_elements, r.caption) == (1 if halves[0] else 0, 1 + sum(map(bool, halves)), "Document" if r.doc_id is None else f"Document {r.doc_id}")
 
 
 def test_pages_resolve_by_digest(spark):
@@ -50,7 +55,8 @@ def test_pages_resolve_by_digest(spark):
     digest = hashlib.sha256(data).hexdigest()
     pages = spark.createDataFrame([(1, f'<p>a</p><img src="digest:{digest}"><p>b</p>'), (2, '<img src="digest:' + "0" * 64 + '">'), (3, None)], "page_id long, html string")
     stored = media.read_back(media.store(spark.createDataFrame([(data,), (data,)], "payload binary")))
-    out = {r.page_id: r.elements for r in media.sequences(media.resolve(media.interleave(pages), stored)).collect()}
+    written = scratch.cut(media.interleave(pages), "elements")
+    out = {r.page_id: r.elements for r in media.sequences(media.resolve(written, stored)).collect()}
     assert [(e.position, e.kind, e.text, e.payload_bytes) for e in out[1]] == [(0, "text", "a", None), (1, "media", None, 576), (2, "text", "b", None)]
     assert [(e.kind, e.payload_bytes) for e in out[2]] == [("media", None)] and 3 not in out
 
