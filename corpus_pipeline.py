@@ -53,5 +53,11 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = scratch.cut(stage(spark, docs, sf_dir), name)
+        docs = _written(spark, docs, sf_dir, name, stage)
     return docs
+
+
+@scratch.tidy
+def _written(spark: SparkSession, docs: DataFrame, sf_dir: str, name: str, stage) -> DataFrame:
+    """A stage's rows, written; what the stage itself wrote to get there goes."""
+    return scratch.cut(stage(spark, docs, sf_dir), name)

@@ -185,16 +185,17 @@ def identify(docs: DataFrame, model: dict, keep: list[str] = ()) -> DataFrame:
     """The columns ``keep`` of ``docs``, and lang_pred, score, phrase_rate."""
     scratch.bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # ALL_BYTES of samples bound its size
+    given = "text" if "text" in keep else "_sf_text"  # texts travel once
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs, score, rate = predict(shared.value, batch.column("_sf_text").to_pylist())
+            langs, score, rate = predict(shared.value, batch.column(given).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in keep), pa.array(langs, pa.string()), pa.array(score), pa.array(rate)], [*keep, "_sf_lang", "_sf_score", "_sf_rate"]
             )
 
     schema = StructType([*(docs.schema[c] for c in keep), StructField("_sf_lang", StringType()), StructField("_sf_score", DoubleType()), StructField("_sf_rate", DoubleType())])
-    return docs.select(*keep, F.col("text").alias("_sf_text")).mapInArrow(run, schema)
+    return docs.select(*keep, *([] if given == "text" else [F.col("text").alias(given)])).mapInArrow(run, schema)
 
 
 def language(docs: DataFrame) -> DataFrame:
