@@ -47,7 +47,7 @@ def write(df: DataFrame, name: str) -> str:
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", "lz4_raw").parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
     if _open():
