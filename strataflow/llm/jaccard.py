@@ -242,7 +242,7 @@ def _chosen(docs: DataFrame, ids: DataFrame, columns: list[tuple], emitter):
                 yield pa.RecordBatch.from_arrays(emit(ids[wanted[low:high]], doc, h, high - low), [c for c, _ in columns])
 
     # without nulls, so that no inferred filter tells the two sides of a self-join apart and they share one shuffle
-    return docs.select("doc_id", "text").mapInArrow(run, StructType([StructField(c, t, False) for c, t in columns]))
+    return docs.select("doc_id", "text").mapInArrow(scratch.lean(run), StructType([StructField(c, t, False) for c, t in columns]))
 
 
 def _signature(ids, doc, h, n):
@@ -360,7 +360,7 @@ def links_and_sizes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n_shingles) of every row, and (node, component) of every linked document."""
     spark = docs.sparkSession
     scratch.bounded_batches(spark)
-    survey = scratch.cut(docs.select("doc_id", "text").mapInArrow(_survey, "doc_id long, n long, k1 long, k2 long"), "survey", files=scratch.tasks(docs))
+    survey = scratch.cut(docs.select("doc_id", "text").mapInArrow(scratch.lean(_survey), "doc_id long, n long, k1 long, k2 long"), "survey", files=scratch.tasks(docs))
     rows = survey.where("k2 is not null")
     sizes = rows.select("doc_id", F.col("n").alias("n_shingles"))
     small = rows.where((F.col("n") > 0) & (F.col("n") <= 2 * MOST_LIGHT)).groupBy("n").count().collect()  # 24 rows at most
@@ -373,14 +373,14 @@ def links_and_sizes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     firsts = scratch.broadcast_if_small(scratch.cut(firsts, "firsts", narrow=True))
     equal = own.join(firsts, ["n", "k1", "k2"]).select(F.col("doc_id").alias("u"), "v").where("u <> v")
 
-    posts = docs.select("doc_id", "text").mapInArrow(_poster(shared, most_light), POSTING)
+    posts = docs.select("doc_id", "text").mapInArrow(scratch.lean(_poster(shared, most_light)), POSTING)
     # one shuffle and one sort; lists are bounded by their salts, and lists with one member, which are most of all, end here
     whole, salt = Window.partitionBy("h"), _bits("place", 47, 15)
     lists = posts.withColumns({"hub": F.min(F.struct("doc", "place")).over(whole), "last": F.max("doc").over(whole)}).where((F.col("hub.doc") < F.col("last")) | (salt > 0))
     lists = lists.select(
         F.col("h").bitwiseXOR(F.shiftleft(salt, 48)).alias("h"), "doc", (_bits("place", 62, 1) == 1).alias("light"), salt.alias("salt"), _bits("place", 23, 24).alias("n"), _bits("place", 0, 23).alias("p"), "hub",
     )
-    lists = scratch.cut(lists, "lists", files=scratch.tasks(docs))
+    lists = scratch.cut(lists, "lists", files=2 * scratch.tasks(docs))
 
     # subsets: members of the two sizes are joined through one of each; every one of these is a link
     light = lists.where("light").select("h", "doc", "n", F.col("p").alias("m"))

@@ -195,7 +195,7 @@ def identify(docs: DataFrame, model: dict, keep: list[str] = ()) -> DataFrame:
             )
 
     schema = StructType([*(docs.schema[c] for c in keep), StructField("_sf_lang", StringType()), StructField("_sf_score", DoubleType()), StructField("_sf_rate", DoubleType())])
-    return docs.select(*keep, *([] if given == "text" else [F.col("text").alias(given)])).mapInArrow(run, schema)
+    return docs.select(*keep, *([] if given == "text" else [F.col("text").alias(given)])).mapInArrow(scratch.lean(run), schema)
 
 
 def language(docs: DataFrame) -> DataFrame:

@@ -122,7 +122,7 @@ def interleave(pages: DataFrame, key: str = "page_id", html: str = "html") -> Da
             number += len(found)
 
     scratch.bounded_batches(pages.sparkSession)
-    out = pages.select(key, html).mapInArrow(run, f"{key} {kind}, page long, position int, kind string, text string, reference string, caption string")
+    out = pages.select(key, html).mapInArrow(scratch.lean(run), f"{key} {kind}, page long, position int, kind string, text string, reference string, caption string")
     return out.withColumn("digest", F.regexp_extract("reference", "^digest:([0-9a-f]{64})$", 1)).withColumn("digest", F.when(F.col("digest") != "", F.col("digest")))
 
 
@@ -165,7 +165,7 @@ def store(payloads: DataFrame, column: str = "payload") -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(digests, pa.string()), pa.array(stored, pa.binary())], ["digest", "media"])
 
     scratch.bounded_batches(payloads.sparkSession)
-    return payloads.select(column).mapInArrow(run, "digest string, media binary")
+    return payloads.select(column).mapInArrow(scratch.lean(run), "digest string, media binary")
 
 
 def feature(width: int, height: int, data: bytes) -> str:
@@ -200,7 +200,7 @@ def read_back(media: DataFrame) -> DataFrame:
             kinds = [pa.int64() if f.split()[1] == "long" else pa.string() for f in FEATURES.split(", ")]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], [f.split()[0] for f in FEATURES.split(", ")])
 
-    return media.mapInArrow(run, FEATURES)
+    return media.mapInArrow(scratch.lean(run), FEATURES)
 
 
 def resolve(sequence: DataFrame, features: DataFrame) -> DataFrame:

@@ -397,7 +397,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], [*batch.schema.names, ids])
 
     schema = StructType([*docs.schema.fields, StructField(ids, ArrayType(IntegerType()))])
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(scratch.lean(run), schema)
 
 
 def decode(docs: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -411,7 +411,7 @@ def decode(docs: DataFrame, path: str, ids: str = "ids", text: str = "decoded")
             found = codec.decode([np.asarray(x if x is not None else [], dtype=np.int64) for x in batch.column(ids).to_numpy(zero_copy_only=False)])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], [*batch.schema.names, text])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(text, StringType())]))
+    return docs.mapInArrow(scratch.lean(run), StructType([*docs.schema.fields, StructField(text, StringType())]))
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
@@ -435,4 +435,4 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_chars long, n_pieces long, ids_sha256 string, decoded_sha256 string, round_trip boolean")
+    return docs.select("doc_id", "text").mapInArrow(scratch.lean(run), f"doc_id {kind}, n_chars long, n_pieces long, ids_sha256 string, decoded_sha256 string, round_trip boolean")

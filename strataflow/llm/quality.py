@@ -161,7 +161,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> dict |
             )
 
     # the chosen labels are 4,000 rows of two numbers at most
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").mapInArrow(hashed, "doc_id long, quality int, at array<int>, x array<float>")
+    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").mapInArrow(scratch.lean(hashed), "doc_id long, quality int, at array<int>, x array<float>")
     table = sample.toArrow().sort_by([("doc_id", "ascending")])
     at, x = ([np.asarray(v) for v in table.column(c).to_numpy()] for c in ("at", "x"))
     y = (np.asarray(table.column("quality").to_pylist(), dtype=float) > 0).astype(float)
@@ -195,7 +195,7 @@ def judge(docs: DataFrame, model: dict | None, keep: float = KEEP) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     counts = ", ".join(f"{c} long" for c in COUNTS)
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, {counts}, base_failed boolean, kept boolean, quality_score double")
+    return docs.select("doc_id", "text").mapInArrow(scratch.lean(run), f"doc_id {kind}, {counts}, base_failed boolean, kept boolean, quality_score double")
 
 
 def quality(docs: DataFrame, labels: DataFrame, keep: float = KEEP, train_model: Callable = train) -> DataFrame:

@@ -1,15 +1,39 @@
-"""The shared scratch folder, under the name that this subpackage uses, and the size of Arrow batches of texts."""
+"""The shared scratch folder, under the name that this subpackage uses, and what keeps Python workers small.
 
+Spark reuses Python workers for other tasks and stages. ``lean`` makes a task give its memory back at its end, and batches of
+texts are bounded by rows and by bytes.
+"""
+
+import ctypes
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import SparkSession
 
 from strataflow.shared import broadcast_if_small, cut, folder, remove, tasks, tidy, write
 
-__all__ = ["bounded_batches", "broadcast_if_small", "cut", "folder", "remove", "tasks", "tidy", "write"]
-BATCH_ROWS = 2000
+__all__ = ["bounded_batches", "broadcast_if_small", "cut", "folder", "lean", "remove", "tasks", "tidy", "write"]
+BATCH_ROWS, BATCH_BYTES = 512, 4 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Texts are long: let an Arrow batch hold BATCH_ROWS rows at most, whatever the session allows for numbers."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key, "10000")) <= BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    """Texts are long: let an Arrow batch hold BATCH_ROWS rows and BATCH_BYTES at most (or one text), whatever the session allows for numbers."""
+    for key, most, default in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS, "10000"), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES, "64MB")):
+        now = spark.conf.get(key, default)
+        if not (now.isdigit() and 0 < int(now) <= most):
+            spark.conf.set(key, str(most))
+
+
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` for mapInArrow, after which the worker returns what it has freed to the system."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+            if trim is not None:
+                trim(0)
+
+    return whole

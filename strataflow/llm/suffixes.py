@@ -147,7 +147,7 @@ def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _shards(keyed: DataFrame) -> dict[int, int]:
     """Shards of the minimizers with more than LIST documents, the FREQUENT most frequent at most."""
-    counts = keyed.select("doc", "text").mapInArrow(_survey, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") > LIST)
+    counts = keyed.select("doc", "text").mapInArrow(scratch.lean(_survey), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") > LIST)
     return {r["h"]: -(-r["n"] // LIST) for r in counts.orderBy(F.desc("n"), "h").limit(FREQUENT).collect()}
 
 
@@ -566,7 +566,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     # flags: twice the salt, plus 1 for an anchor that its document has several times
     # without nulls, so that no inferred filter tells its two readers apart
     anchor = StructType([StructField(c, LongType(), False) for c in ("h", "doc", "mark", "flags")])
-    anchors = keyed.mapInArrow(_anchor_rows(hot), anchor)
+    anchors = keyed.mapInArrow(scratch.lean(_anchor_rows(hot)), anchor)
     salt = F.shiftright("flags", 1)
     anchors = anchors.repartition(F.col("h"), salt.alias("salt"))
     # both readers of the anchors use all columns, so that they share one shuffle
@@ -578,16 +578,16 @@ def dedup(docs: DataFrame) -> DataFrame:
     # a document's anchors are fewer than its bytes; documents without shared ones end here, before texts are shuffled
     shared = scratch.cut(shared, "shared")
     bits = spark.sparkContext.broadcast(bitmap.build(shared, "doc"))
-    some = keyed.mapInArrow(_possible(bits), keyed.schema)
+    some = keyed.mapInArrow(scratch.lean(_possible(bits)), keyed.schema)
     wanted = some.join(shared.withColumnRenamed("doc", "_d").withColumnRenamed("mark", "_m"), (F.col("doc") == F.col("_d")) & (F.col("mark") == F.col("_m")))
     candidates = scratch.cut(wanted.select("doc", "mark", "text", "anchors"), "candidates")
-    pieces = candidates.mapInArrow(_segment_rows, PIECE).repartition("h", "salt").sortWithinPartitions("h", "salt")
-    settled = scratch.cut(pieces.mapInArrow(_settle, PIECE), "settled")
-    across = settled.where("kind = 1").repartition("h").sortWithinPartitions("h", "salt").mapInArrow(_settle_across, PIECE)
+    pieces = candidates.mapInArrow(scratch.lean(_segment_rows), PIECE).repartition("h", "salt").sortWithinPartitions("h", "salt")
+    settled = scratch.cut(pieces.mapInArrow(scratch.lean(_settle), PIECE), "settled")
+    across = settled.where("kind = 1").repartition("h").sortWithinPartitions("h", "salt").mapInArrow(scratch.lean(_settle_across), PIECE)
     spans = settled.where("kind = 0").unionByName(across).groupBy("doc", "mark").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
     spans = spans.withColumnRenamed("doc", "_d").withColumnRenamed("mark", "_m")
     results = candidates.select("doc", "mark", "text").join(spans, (F.col("doc") == F.col("_d")) & (F.col("mark") == F.col("_m")))
-    results = results.select("doc", "mark", "text", "spans").mapInArrow(_cut_texts, "_doc long, _mark long, n_removed long, n_spans long, kept_sha256 string")
+    results = results.select("doc", "mark", "text", "spans").mapInArrow(scratch.lean(_cut_texts), "_doc long, _mark long, n_removed long, n_spans long, kept_sha256 string")
     # rows that repeat a document give the same result
     results = results.groupBy("_doc", "_mark").agg(*(F.max(c).alias(c) for c in ("n_removed", "n_spans", "kept_sha256")))
     done = placed.join(results, (F.col("doc") == F.col("_doc")) & (F.col("mark") == F.col("_mark")), "left")

@@ -76,7 +76,7 @@ def responses(pages: DataFrame, repeated: DataFrame) -> DataFrame:
             for batch in batches:
                 yield batch.filter(pa.array(bitmap.contains(bits.value, np.asarray(batch.column("_k"))) == wanted))
 
-        return keyed.mapInArrow(run, keyed.schema).drop("_k")
+        return keyed.mapInArrow(scratch.lean(run), keyed.schema).drop("_k")
 
     return held(False).unionByName(held(True).join(gone, same, "left_anti"))
 
@@ -145,7 +145,7 @@ def _written(rows: DataFrame, kind: str, folder: str) -> DataFrame:
                 out.close()
         yield pa.RecordBatch.from_pylist(index, pa.schema([("archive", pa.string()), ("at", pa.int64()), ("length", pa.int64()), ("records", pa.int64())]))
 
-    return rows.mapInArrow(run, INDEX)
+    return rows.mapInArrow(scratch.lean(run), INDEX)
 
 
 def write(pages: DataFrame, folder: str | None = None, least: int = LEAST) -> DataFrame:
@@ -211,7 +211,7 @@ def records(index: DataFrame) -> DataFrame:
 
     # ranges are few small rows that stand for much work, so tasks are dealt by their number
     tasks = max(2 * index.sparkSession.sparkContext.defaultParallelism, -(-index.count() // RANGES))
-    return index.repartition(tasks).mapInArrow(run, "record_id string, page_id long, record_type string, stated string, held_digest string, held_bytes long, refers string")
+    return index.repartition(tasks).mapInArrow(scratch.lean(run), "record_id string, page_id long, record_type string, stated string, held_digest string, held_bytes long, refers string")
 
 
 def read(index: DataFrame) -> DataFrame:
