@@ -13,7 +13,7 @@ from pyspark.sql import SparkSession
 from strataflow.shared import broadcast_if_small, cut, folder, remove, tasks, tidy, write
 
 __all__ = ["bounded_batches", "broadcast_if_small", "cut", "folder", "lean", "remove", "tasks", "tidy", "write"]
-BATCH_ROWS, BATCH_BYTES = 512, 4 << 20
+BATCH_ROWS, BATCH_BYTES = 512, 1 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:
