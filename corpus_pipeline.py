@@ -1,7 +1,8 @@
 """A corpus pipeline: five of the training-data operators, one after the other.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each stage's result as
-Parquet to the shared folder and gives it, read again, to the next.
+Parquet to the shared folder and gives it, read again, to the next. A task of a stage's last step takes several
+scan partitions, so that the next stage does not read very small files.
 """
 
 from __future__ import annotations
@@ -12,30 +13,34 @@ from strataflow.llm import jaccard, langid, mixing, pieces, scratch, secrets
 from strataflow.llm.queries import TOKENIZER
 
 
+def _packed(out: DataFrame, docs: DataFrame) -> DataFrame:
+    return out.coalesce(scratch.tasks(docs))
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the labelled ones teach; the others go."""
-    return langid.known_language(docs)
+    return _packed(langid.known_language(docs), docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest doc_id, of each group of linked ones."""
-    return jaccard.keep_first(docs)
+    return _packed(jaccard.keep_first(docs), docs)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets replaced by a mark; all documents stay."""
-    return secrets.redact_documents(docs)
+    return _packed(secrets.redact_documents(docs), docs)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated, cut or left out, so that sources meet their target weights."""
     cuts = scratch.cut(mixing.cuts(scratch.cut(mixing.sized(docs), "sizes")), "cuts")
-    return mixing.apply_cuts(docs, cuts)
+    return _packed(mixing.apply_cuts(docs, cuts), docs)
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every row's piece ids."""
-    return pieces.encode(docs, TOKENIZER)
+    return _packed(pieces.encode(docs, TOKENIZER), docs)
 
 
 STAGES = [
