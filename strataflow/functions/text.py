@@ -7,7 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, StringType
+from pyspark.sql.types import ArrayType, StringType
 
 
 def simple_tokens(text: Column) -> Column:
@@ -67,9 +67,24 @@ def code_words(text: str) -> list[str]:
     return out
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def search_terms(texts: pd.Series) -> pd.Series:
-    return texts.map(words)
+def _stem(w: Column) -> Column:
+    """stem() as an expression."""
+    out = F.when((F.char_length(w) <= 3) | w.rlike("(ss|us|is)$"), w)
+    for suffix, new in _SUFFIXES:
+        base = F.concat(F.substring(w, F.lit(1), F.char_length(w) - len(suffix)), F.lit(new))
+        if suffix in ("ing", "ed"):
+            base = F.when((F.char_length(base) > 3) & base.rlike(r"([^lsz])\1$"), F.substring(base, F.lit(1), F.char_length(base) - 1)).otherwise(base)
+        out = out.when(F.endswith(w, F.lit(suffix)) & (F.char_length(w) - len(suffix) >= 3), base)
+    return out.otherwise(w)
+
+
+def search_terms(text: Column, stemming: bool = True) -> Column:
+    """words() as an expression: search terms of a text, in order."""
+    raw = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"(?U)\s+"), lambda w: w != "")
+    bare = F.transform(raw, lambda w: F.regexp_replace(F.regexp_replace(w, r"(?U)^[^\w]+|[^\w]+$", ""), "('s|’s)$", ""))
+    forms = F.transform(bare, lambda w: F.when(F.contains(w, F.lit("-")), F.concat(F.array(F.replace(w, F.lit("-"), F.lit(""))), F.split(w, "-"))).otherwise(F.array(w)))
+    kept = F.filter(F.flatten(forms), lambda w: F.char_length(w) > 1)
+    return F.transform(kept, _stem) if stemming else kept
 
 
 @F.pandas_udf(ArrayType(StringType()))
@@ -110,6 +125,23 @@ def parse_number(text: str | None) -> float | None:
     return float(total + group) if seen else None
 
 
-@F.pandas_udf(DoubleType())
-def number_of(texts: pd.Series) -> pd.Series:
-    return texts.map(parse_number)
+def number_of(text: Column) -> Column:
+    """parse_number() as an expression."""
+    t = F.replace(F.lower(F.trim(text)), F.lit(","), F.lit(""))
+    scale = F.create_map(*[F.lit(x) for kv in _SCALES.items() for x in (kv[0], float(kv[1]))])
+    digits = r"^[$€£]?(-?\d+(?:\.\d+)?)\s*(k|m|b|thousand|million|billion|hundred)?$"
+    in_digits = F.regexp_extract(t, digits, 1).cast("double") * F.coalesce(F.try_element_at(scale, F.regexp_extract(t, digits, 2)), F.lit(1.0))
+    small = {w: float(i) for i, w in enumerate(_ONES)} | {w: 20.0 + 10 * i for i, w in enumerate(_TENS)}
+    value = F.create_map(*[F.lit(x) for kv in small.items() for x in kv])
+    start = F.struct(F.lit(0.0).alias("total"), F.lit(0.0).alias("group"), F.lit(False).alias("seen"), F.lit(True).alias("ok"))
+
+    def step(s: Column, w: Column) -> Column:
+        plain, big = F.try_element_at(value, w), w.isin("thousand", "million", "billion")
+        skip = (w == "and") & s["seen"]
+        group = F.when(plain.isNotNull(), s["group"] + plain).when(w == "hundred", F.greatest(s["group"], F.lit(1.0)) * 100).when(big, F.lit(0.0)).otherwise(s["group"])
+        total = F.when(big, s["total"] + F.greatest(s["group"], F.lit(1.0)) * F.try_element_at(scale, w)).otherwise(s["total"])
+        known = plain.isNotNull() | (w == "hundred") | big
+        return F.struct(total.alias("total"), group.alias("group"), (s["seen"] | known).alias("seen"), (s["ok"] & (known | skip)).alias("ok"))
+
+    in_words = F.aggregate(F.split(t, r"[\s-]+"), start, step, lambda s: F.when(s["ok"] & s["seen"], s["total"] + s["group"]))
+    return F.when(t.rlike(digits), in_digits).otherwise(in_words)

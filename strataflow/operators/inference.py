@@ -117,25 +117,77 @@ def contextual_associations(events: DataFrame, fingerprint: str, at: str, window
     return n.withColumn("strength", F.col("n") / F.sum("n").over(Window.partitionBy("bucket"))).where(F.col("n") >= least)
 
 
-def ancestors_of(causes: DataFrame, event: int, high: int = 20) -> DataFrame:
-    """(event, depth): causal ancestors. causes: event_id, parent."""
+def ancestors_of(causes: DataFrame, event: int, high: int | None = None) -> DataFrame:
+    """(event, depth): causal ancestors, of any depth or up to ``high``. causes: event_id, parent."""
     from strataflow.operators.paths import neighbours
 
     return neighbours(causes.select(F.col("event_id").alias("source"), F.col("parent").alias("target")), event, high).select(F.col("node").alias("event"), "depth")
 
 
-def cycles(causes: DataFrame, rounds: int = 50) -> DataFrame:
-    """Events on or upstream of a causal cycle: what is left after removing, again and again, those without open parents."""
+@shared.tidy
+def cycles(causes: DataFrame, steps: int = 8) -> DataFrame:
+    """Events on a causal cycle, or whose causes lead to one: what is left after removing, until nothing goes, those
+    without open parents. A round takes ``steps`` such removals in one plan."""
     links = shared.cut(causes.select("event_id", "parent").where("parent is not null").distinct(), "causes")
-    for _ in range(rounds):
-        waiting = links.select(F.col("event_id").alias("parent")).distinct()
-        new = shared.cut(links.join(waiting, "parent", "left_semi"), "causes")
-        if new.count() == links.count():
+    rows = links.count()
+    while rows:
+        for _ in range(steps):
+            links = links.join(links.select(F.col("event_id").alias("parent")).distinct(), "parent", "left_semi")
+        links = shared.cut(links.select("event_id", "parent"), "causes")
+        before, rows = rows, links.count()
+        if rows == before:
             break
-        links = new
     return links.select("event_id").distinct()
 
 
+def event_graph(events: DataFrame, window: int = HOUR, least: float = 0.3, similar: float = 0.5) -> "Graph":
+    """The graph of events (event_id, agent_id, ts, event_type, outcome, goals, env, tool, result, chain).
+
+    Nodes: agents, events, contexts (their goals and environment), goals, tools and results. Edges: an agent performs an event, which
+    happens in a context, pursues goals, uses a tool and gives a result; causal edges as inferred; contextual edges of weight
+    0.7 x similarity between contexts that an agent meets one after the other. Ids are hashes of kind and name.
+    """
+    from strataflow.model import Graph
+
+    none = F.array().cast("array<string>")
+    e = events.select("event_id", "agent_id", "ts", "event_type", "outcome", F.array_sort(F.coalesce("goals", none)).alias("goals"), F.array_sort(F.coalesce("env", none)).alias("env"), "tool", "result", "chain")
+    e = e.withColumn("context", F.concat(F.array_join("goals", ","), F.lit("|"), F.array_join("env", ",")))
+    ident = lambda kind, c: F.xxhash64(F.lit(kind), c.cast("string"))
+    kinds = [("Agent", F.col("agent_id")), ("Event", F.col("event_id")), ("Context", F.col("context")), ("Goal", F.explode("goals")), ("Tool", F.col("tool")), ("Result", F.col("result"))]
+    nodes = None
+    for kind, name in kinds:
+        named = e.select(name.cast("string").alias("label"), "ts").where("label is not null and label <> '|'").groupBy("label").agg(F.min("ts").alias("created_at"), F.max("ts").alias("updated_at"))
+        part = named.select(ident(kind, F.col("label")).alias("id"), F.lit(kind).alias("node_type"), F.lit(kind).alias("concept_type"), "label", "created_at", "updated_at")
+        nodes = part if nodes is None else nodes.unionByName(part)
+
+    def edges(df: DataFrame, source: Column, target: Column, kind: str, name: str, weight: Column) -> DataFrame:
+        rows = df.select(source.alias("source"), target.alias("target"), weight.cast("double").alias("weight"), F.col("ts").alias("created_at"))
+        rows = rows.groupBy("source", "target").agg(F.max("weight").alias("weight"), F.min("created_at").alias("created_at"), F.count("*").cast("int").alias("observation_count"))
+        return rows.select(
+            F.xxhash64("source", "target", F.lit(name)).alias("id"), "source", "target", F.lit(kind).alias("edge_kind"), F.lit(name).alias("assoc_type"), "weight", F.lit(1.0).alias("confidence"),
+            "created_at", F.col("created_at").alias("updated_at"), F.col("created_at").alias("valid_from"), F.lit(True).alias("is_valid"), "observation_count",
+        )
+
+    me, one = ident("Event", F.col("event_id")), F.lit(1.0)
+    links = [
+        edges(e, ident("Agent", F.col("agent_id")), me, "Interaction", "event:performed", one),
+        edges(e.where("context <> '|'"), me, ident("Context", F.col("context")), "Contextual", "event:in_context", one),
+        edges(e.withColumn("goal", F.explode("goals")), me, ident("Goal", F.col("goal")), "GoalRelation", "event:pursues", one),
+        edges(e.where("tool is not null"), me, ident("Tool", F.col("tool")), "Association", "event:uses", one),
+        edges(e.where("result is not null"), me, ident("Result", F.col("result")), "Association", "event:results_in", one),
+    ]
+    causal = causal_edges(e, window, least).select(ident("Event", F.col("cause")).alias("_a"), ident("Event", F.col("effect")).alias("_b"), "strength", F.lit(0).cast("long").alias("ts"))
+    links.append(edges(causal, F.col("_a"), F.col("_b"), "Causality", "event:causes", F.col("strength")))
+    w = Window.partitionBy("agent_id").orderBy("ts", "event_id")
+    met = e.select("context", "ts", "goals", "env", *(F.lag(c).over(w).alias(f"p_{c}") for c in ("context", "goals", "env"))).where("p_context <> context")
+    met = met.withColumn("like", context_similarity(F.col("goals"), F.col("p_goals"), F.col("env"), F.col("p_env"))).where(F.col("like") >= similar)
+    links.append(edges(met, ident("Context", F.col("p_context")), ident("Context", F.col("context")), "Contextual", "context:similar", 0.7 * F.col("like")))
+    out = links[0]
+    for x in links[1:]:
+        out = out.unionByName(x)
+    return Graph.of(nodes, out)
+
+
 def code_changes(before: DataFrame, after: DataFrame) -> DataFrame:
     """(name, kind, change) of code entities (name, kind, file, body): added, removed or modified."""
     a = before.select("name", "kind", "file", F.sha2("body", 256).alias("_a"))
@@ -183,3 +235,21 @@ def learning_metrics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def for_group(df: DataFrame, group_id) -> DataFrame:
     """One tenant's rows."""
     return df.where(F.col("group_id") == F.lit(group_id))
+
+
+def scoped(df: DataFrame, group_id=None, user: str | None = None, session: str | None = None) -> DataFrame:
+    """Rows within a scope: a tenant's (``group_id``), a user's and a session's (props ``user_id``, ``session_id``).
+
+    Rows without a user or session belong to everyone in the tenant.
+    """
+    out = df if group_id is None else for_group(df, group_id)
+    for key, value in (("user_id", user), ("session_id", session)):
+        if value is not None:
+            have = F.try_element_at("props", F.lit(key))
+            out = out.where(have.isNull() | (have == value))
+    return out
+
+
+def by_scope(df: DataFrame) -> DataFrame:
+    """(group_id, user_id, n): rows of each scope."""
+    return df.groupBy("group_id", F.try_element_at("props", F.lit("user_id")).alias("user_id")).agg(F.count("*").alias("n"))

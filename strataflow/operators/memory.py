@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from itertools import count
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -143,12 +143,14 @@ def children(tree: DataFrame, parent: str) -> DataFrame:
     return tree.where(F.col("parent") == parent).select("child")
 
 
-def descendants(tree: DataFrame, root: str, high: int = 20) -> DataFrame:
-    """(node, depth) below a node."""
-    level = tree.where(F.col("parent") == root).select(F.col("child").alias("node"), F.lit(1).alias("depth"))
+@shared.tidy
+def descendants(tree: DataFrame, root: str, high: int | None = None) -> DataFrame:
+    """(node, depth) below a node, to any depth or to ``high``."""
+    links = shared.cut(tree.select("parent", "child").distinct(), "tree")
+    level = links.where(F.col("parent") == root).select(F.col("child").alias("node"), F.lit(1).alias("depth"))
     found = level
-    for depth in range(2, high + 1):
-        level = tree.join(level.select(F.col("node").alias("parent")), "parent").select(F.col("child").alias("node"), F.lit(depth).alias("depth"))
+    for depth in count(2) if high is None else range(2, high + 1):
+        level = links.join(level.select(F.col("node").alias("parent")), "parent").select(F.col("child").alias("node"), F.lit(depth).alias("depth")).distinct()
         level = shared.cut(level.join(found, "node", "left_anti"), "level")
         if level.isEmpty():
             break
@@ -156,7 +158,7 @@ def descendants(tree: DataFrame, root: str, high: int = 20) -> DataFrame:
     return found
 
 
-def related(edges: DataFrame, start: int, predicate: str, high: int = 6) -> DataFrame:
+def related(edges: DataFrame, start: int, predicate: str, high: int | None = None) -> DataFrame:
     """(node, depth) reached over edges whose association type has the predicate."""
     from strataflow.operators.paths import neighbours
 
@@ -229,25 +231,3 @@ def merge_nodes(nodes: DataFrame, edges: DataFrame, mapping: DataFrame) -> tuple
     for end in ("source", "target"):
         e = e.join(m, F.col(end) == F.col("_a"), "left").withColumn(end, F.coalesce("_s", end)).drop("_a", "_s")
     return out, e.where("source <> target")
-
-
-def parse_ledger(texts: DataFrame, text: str = "text") -> DataFrame:
-    """Payments in sentences such as "Alice paid Bob $12.50 for lunch": payer, payee, amount, note."""
-    from strataflow.functions.text import parse_number
-
-    schema = f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in texts.schema.fields)}, payer string, payee string, amount double, note string"
-    import re
-
-    says = re.compile(r"\b([A-Z]\w+)\s+(?:paid|gave|sent|lent|owes)\s+([A-Z]\w+)\s+([$€£]?[\d.,]+k?|[a-z-]+(?:\s[a-z-]+){0,3}?)(?:\s(?:dollars|euros|pounds))?(?:\s+for\s+([^.!?]+))?(?=[.!?]|$|\s)")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for r in b.itertuples(index=False):
-                for m in says.finditer(getattr(r, text) or ""):
-                    amount = parse_number(m[3].strip(".,"))
-                    if amount is not None:
-                        rows.append((*r, m[1], m[2], amount, m[4]))
-            yield pd.DataFrame(rows, columns=[*b.columns, "payer", "payee", "amount", "note"])
-
-    return texts.mapInPandas(run, schema)

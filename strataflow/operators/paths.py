@@ -36,6 +36,7 @@ def directed(edges: DataFrame, direction: str = "out") -> DataFrame:
     raise ValueError(f"unknown direction {direction!r}")
 
 
+@shared.tidy
 def reach(edges: DataFrame, starts: DataFrame, low: int = 1, high: int | None = 10, direction: str = "out") -> DataFrame:
     """(start, node, depth): nodes within ``high`` hops of each start, or with None any number, once, at their least depth.
 
@@ -87,6 +88,7 @@ def costs(edges: DataFrame) -> DataFrame:
     return edges.groupBy("source", "target").agg(F.min(edge_cost(F.col("cost_signal"))).alias("cost"))
 
 
+@shared.tidy
 def shortest_paths(priced: DataFrame, starts: DataFrame, targets: DataFrame | None = None, rounds: int | None = None, max_cost: float | None = None) -> DataFrame:
     """(start, node, cost, path) of the cheapest path from each start to every node, or to ``targets``.
 
@@ -157,7 +159,8 @@ def _cheap_paths(priced: DataFrame, start: int, end: int, k: int) -> DataFrame:
     return found
 
 
-def k_shortest(priced: DataFrame, start: int, end: int, k: int = 3, high: int | None = 6) -> DataFrame:
+@shared.tidy
+def k_shortest(priced: DataFrame, start: int, end: int, k: int = 3, high: int | None = None) -> DataFrame:
     """The k cheapest simple paths (cost, path, rank) of at most ``high`` edges, or with None of any number."""
     one = priced.sparkSession.range(1).select(F.lit(start).cast("long").alias("start"))
     paths = _cheap_paths(priced, start, end, k) if high is None else simple_paths(priced, one, high).where(F.col("node") == end)
@@ -165,25 +168,50 @@ def k_shortest(priced: DataFrame, start: int, end: int, k: int = 3, high: int |
     return ranked.where(F.col("rank") <= k).select("cost", "path", "rank")
 
 
+@shared.tidy
 def constrained_path(
-    nodes: DataFrame, edges: DataFrame, start: int, end: int, max_length: int = 8, avoid_types: list[str] = (), require_types: list[str] = (),
+    nodes: DataFrame, edges: DataFrame, start: int, end: int, max_length: int | None = None, avoid_types: list[str] = (), require_types: list[str] = (),
     min_weight: float | None = None, condition: Column | None = None,
 ) -> DataFrame:
-    """The cheapest simple path (cost, path) that meets the constraints; all are applied to every path,
-    so a feasible path is found whenever there is one within ``max_length``. ``condition`` is on edges."""
+    """The cheapest simple path (cost, path) that meets the constraints, of any number of edges or ``max_length`` at most; all are
+    applied to every path, so a feasible path is found whenever there is one. ``condition`` is on edges.
+
+    Without required types this is a cheapest path over the usable edges. With them, paths are grown of which the cost so far
+    and the cheapest rest stay below the best that is complete.
+    """
     usable = edges if min_weight is None else edges.where(F.col("weight") >= min_weight)
     usable = usable if condition is None else usable.where(condition)
     kinds = nodes.select(F.col("id").alias("_id"), F.col("node_type").alias("_type"))
     if avoid_types:
         good = kinds.where(~F.col("_type").isin(list(avoid_types)) | F.col("_id").isin(start, end)).select("_id")
         usable = usable.join(good, usable["target"] == good["_id"], "left_semi")
-    one = edges.sparkSession.range(1).select(F.lit(start).cast("long").alias("start"))
-    paths = simple_paths(costs(usable), one, max_length).where(F.col("node") == end)
-    if require_types:
-        steps = paths.withColumn("_id", F.explode("path")).join(kinds, "_id")
-        have = steps.groupBy("cost", "path").agg(F.collect_set("_type").alias("_types"))
-        paths = have.where(F.size(F.array_except(F.array(*[F.lit(t) for t in require_types]), F.col("_types"))) == 0)
-    return paths.orderBy("cost", "path").limit(1).select("cost", "path")
+    node = lambda x: edges.sparkSession.range(1).select(F.lit(x).cast("long").alias("start"))
+    priced = shared.cut(costs(usable).where("source <> target"), "priced")
+    if not require_types:
+        return shortest_paths(priced, node(start), node(end).select(F.col("start").alias("node")), rounds=max_length).select("cost", "path").where(F.size("path") > 1)
+    back = priced.select(F.col("target").alias("source"), F.col("source").alias("target"), "cost")
+    rest = shortest_paths(back, node(end)).select(F.col("node").alias("target"), F.col("cost").alias("_b"))
+    needed = kinds.where(F.col("_type").isin(list(require_types)))
+    links = priced.join(rest, "target").join(needed, F.col("target") == F.col("_id"), "left")
+    links = shared.cut(links.select(F.col("source").alias("_s"), F.col("target").alias("_t"), F.col("cost").alias("_c"), "_b", F.array_compact(F.array("_type")).alias("_met")), "links")
+    none = F.array().cast("array<string>")
+    level = node(start).select(F.col("start").alias("node"), F.lit(0.0).alias("cost"), F.array("start").alias("path"))
+    level = level.join(needed, F.col("node") == F.col("_id"), "left").select("node", "cost", "path", F.array_compact(F.array("_type")).alias("met"))
+    wanted = F.array(*[F.lit(t) for t in require_types])
+    found, best = level.where("false").select("cost", "path"), None
+    for _ in _rounds(max_length):
+        level = level.where(F.col("node") != end).join(links, F.col("node") == F.col("_s")).where(~F.array_contains("path", F.col("_t")))
+        level = level.select(F.col("_t").alias("node"), F.round(F.col("cost") + F.col("_c"), 9).alias("cost"), F.concat("path", F.array("_t")).alias("path"), F.array_union(F.coalesce("met", none), "_met").alias("met"), "_b")
+        if best is not None:
+            level = level.where(F.col("cost") + F.col("_b") <= best + 1e-6)
+        level = shared.cut(level.drop("_b"), "paths")
+        if level.isEmpty():
+            break
+        done = level.where((F.col("node") == end) & (F.size(F.array_except(wanted, F.col("met"))) == 0)).select("cost", "path")
+        least = done.agg(F.min("cost")).first()[0]
+        best = least if best is None else best if least is None else min(best, least)
+        found = found.unionByName(done)
+    return found.orderBy("cost", "path").limit(1)
 
 
 def traverse(
@@ -218,6 +246,7 @@ def traverse(
     return every.join(longer, "path", "left_anti").where(F.size("path") > low).select("path")
 
 
+@shared.tidy
 def temporal_reach(edges: DataFrame, starts: DataFrame, since: int | None = None, until: int | None = None, min_weight: float | None = None, hops: int | None = 10) -> DataFrame:
     """(start, node, arrival, hops, path): earliest arrival over edges recorded in non-decreasing order.
 

@@ -183,3 +183,45 @@ def current_results(results: DataFrame, superseded: DataFrame, at: int, key: str
     """Results valid at a time whose target no newer fact replaced (``superseded`` has ``key``)."""
     live = results.where((F.col("valid_from").isNull() | (F.col("valid_from") <= at)) & (F.col("valid_until").isNull() | (F.col("valid_until") > at)))
     return live.join(superseded.select(key).distinct(), key, "left_anti")
+
+
+def superseded_targets(edges: DataFrame) -> DataFrame:
+    """(target): ends of structured (category:predicate) edges that are closed, or that a later edge of the same source and
+    type left behind, or that depend (props depends_on) on such an end's label; those that an open, latest edge names stay.
+
+    edges: source, target, label (of the target), assoc_type, valid_from, valid_until, props.
+    """
+    from pyspark.sql import Window
+
+    e = edges.where(F.contains("assoc_type", F.lit(":")))
+    latest = F.max(F.coalesce("valid_from", F.lit(0))).over(Window.partitionBy("source", "assoc_type"))
+    e = e.withColumn("_old", F.col("valid_until").isNotNull() | (F.coalesce("valid_from", F.lit(0)) < latest))
+    gone = e.where("_old").select("target", F.lower("label").alias("label")).distinct()
+    depends = edges.where(F.col("valid_until").isNull() & F.try_element_at("props", F.lit("depends_on")).isNotNull())
+    # what depends on a label names it as one of its words' runs; labels meet the words, so no pair of all is formed
+    words = F.split(F.lower(F.try_element_at("props", F.lit("depends_on"))), "[^\\p{L}\\p{N}]+")
+    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(3)), lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(words) - n + 1)), lambda i: F.array_join(F.slice(words, i, n), " "))))
+    cascade = depends.select("target", F.explode(F.array_distinct(runs)).alias("label")).join(gone.select("label").distinct(), "label", "left_semi").select("target")
+    current = e.where("not _old").select("target").distinct()
+    return gone.select("target").unionByName(cascade).distinct().join(current, "target", "left_anti")
+
+
+def valid_results(results: DataFrame, edges: DataFrame, key: str = "node") -> DataFrame:
+    """Search results (key, score) without targets of superseded facts."""
+    return results.join(superseded_targets(edges).withColumnRenamed("target", key), key, "left_anti")
+
+
+def anchored_results(results: DataFrame, edges: DataFrame, entity: int, key: str = "node", boost: float = 1.5, demote: float = 0.5) -> DataFrame:
+    """Results weighted by an entity's current state: nodes that its open facts name are raised, those that only its
+    closed facts name are lowered, others stay."""
+    mine = edges.where((F.col("source") == entity) & F.contains("assoc_type", F.lit(":")))
+    state = mine.groupBy(F.col("target").alias(key)).agg(F.max(F.col("valid_until").isNull()).alias("_open"))
+    factor = F.when(F.col("_open"), F.lit(boost)).when(~F.col("_open"), F.lit(demote)).otherwise(F.lit(1.0))
+    return results.join(state, key, "left").select(key, (F.col("score") * factor).alias("score"))
+
+
+def epoch_results(results: DataFrame, edges: DataFrame, entity: int, category: str, key: str = "node") -> DataFrame:
+    """Results recorded (``at``) within the entity's present epoch: since its latest open fact of a category began."""
+    mine = edges.where((F.col("source") == entity) & F.startswith("assoc_type", F.lit(category + ":")) & F.col("valid_until").isNull())
+    since = mine.agg(F.max("valid_from").alias("_since"))
+    return results.join(F.broadcast(since)).where(F.col("_since").isNull() | (F.col("at") >= F.col("_since"))).drop("_since")  # one row

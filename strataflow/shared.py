@@ -7,6 +7,7 @@ operator's tables, but for those that its result reads.
 
 from __future__ import annotations
 
+import json
 import tempfile
 import threading
 import uuid
@@ -71,7 +72,43 @@ def cut(df: DataFrame, name: str = "step", narrow: bool = False, files: int | No
     spark = df.sparkSession
     files = spark.sparkContext.defaultParallelism if narrow else files
     path = write(df if files is None else df.coalesce(max(1, files)), name)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete those of the DataFrames that cut() returned; nothing may read them afterwards."""
+    for t in tables:
+        if getattr(t, "_written_to", None):
+            remove(t.sparkSession, t._written_to)
+
+
+def save_json(spark: SparkSession, path: str, value: object) -> None:
+    """Write a small file beside ``path`` and rename it over that, so that readers see the old value or the new one."""
+    jvm = spark._jvm
+    conf = spark._jsc.hadoopConfiguration()
+    new, old = jvm.org.apache.hadoop.fs.Path(f"{path}.new"), jvm.org.apache.hadoop.fs.Path(path)
+    fs = new.getFileSystem(conf)
+    stream = fs.create(new, True)
+    stream.write(bytearray(json.dumps(value).encode()))
+    stream.close()
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), conf).rename(fs.makeQualified(new), fs.makeQualified(old), options)
+
+
+def load_json(spark: SparkSession, path: str) -> object | None:
+    """What save_json() wrote; None where there is no file."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(p):
+        return None
+    stream = fs.open(p)
+    try:
+        return json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+    finally:
+        stream.close()
 
 
 def tidy(f: Callable) -> Callable:

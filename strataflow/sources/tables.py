@@ -1,19 +1,19 @@
 """Versioned tables as Parquet snapshots: definitions, constraints and changes.
 
-A table is a folder with numbered snapshots and a small definition file that names the current one. A
-change writes a new snapshot and then replaces the definition, so readers see the old rows or
-the new ones. There is one writer at a time. Paths go through Spark and Hadoop, so any store will do.
+A table is a folder of numbered parts and a small definition file that names the current ones: parts with new versions, and
+parts with closings, the ends of earlier versions. A change writes its own rows only, then replaces the definition
+by a rename, so readers see the old rows or the new ones; reading joins the closings, and compaction merges all parts into one.
+There is one writer at a time. Paths go through Spark and Hadoop, so any store will do.
 
 Rows have the system columns _row_id, _version_id, _group_id, _valid_from, _valid_until, _created_at.
 """
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strataflow import shared
 from strataflow.model import SYSTEM_COLUMNS
 from strataflow.operators import temporal
 from strataflow.plans import ast as A
@@ -25,6 +25,7 @@ TYPES = {
     "timestamp": "BIGINT", "json": "STRING", "jsonb": "STRING", "noderef": "BIGINT",
 }
 _SYSTEM = {c: "BIGINT" for c in SYSTEM_COLUMNS}
+CLOSING = "_version_id BIGINT, _valid_until BIGINT"
 
 
 class ConstraintError(ValueError):
@@ -48,26 +49,29 @@ class TableStore:
         return sorted(s.getPath().getName() for s in fs.listStatus(p) if fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{s.getPath().getName()}/definition.json")))
 
     def definition(self, name: str) -> dict:
-        path = f"{self.folder}/{name}/definition.json"
-        fs, p = self._fs(path)
-        if not fs.exists(p):
+        d = shared.load_json(self.spark, f"{self.folder}/{name}/definition.json")
+        if d is None:
             raise KeyError(f"unknown table {name}")
-        return json.loads("\n".join(r[0] for r in self.spark.read.text(path, wholetext=True).collect()))
+        return d
 
     def _save(self, name: str, d: dict) -> None:
-        fs, p = self._fs(f"{self.folder}/{name}/definition.json")
-        stream = fs.create(p, True)
-        stream.write(bytearray(json.dumps(d).encode()))
-        stream.close()
+        shared.save_json(self.spark, f"{self.folder}/{name}/definition.json", d)
+
+    def _part(self, name: str, number: int) -> str:
+        return f"{self.folder}/{name}/{number:08d}"
 
     def read(self, name: str) -> DataFrame:
         """All versions of the table's rows; columns added later read their default."""
         d = self.definition(name)
         ddl = {**_SYSTEM, **{c["name"]: c["type"] for c in d["columns"]}}
         schema = ", ".join(f"`{k}` {v}" for k, v in ddl.items())
-        if d["snapshot"] is None:
+        if not d["parts"]:
             return self.spark.createDataFrame([], schema)
-        df = self.spark.read.schema(schema).parquet(f"{self.folder}/{name}/{d['snapshot']:08d}")
+        df = self.spark.read.schema(schema).parquet(*(self._part(name, n) for n in d["parts"]))
+        if d["closings"]:
+            ends = self.spark.read.schema(CLOSING).parquet(*(self._part(name, n) for n in d["closings"]))
+            ends = ends.groupBy(F.col("_version_id").alias("_v")).agg(F.min("_valid_until").alias("_end"))
+            df = df.join(ends, F.col("_version_id") == F.col("_v"), "left").withColumn("_valid_until", F.coalesce("_valid_until", "_end")).drop("_v", "_end")
         late = [c for c in d["columns"] if c.get("since", 0) > 0 and c["default"] is not None]
         for c in late:
             # rows written before the column came have no value of their own
@@ -75,10 +79,23 @@ class TableStore:
             df = df.withColumn(c["name"], F.when(before & F.col(c["name"]).isNull(), F.lit(c["default"]).cast(c["type"])).otherwise(F.col(c["name"])))
         return df
 
-    def _write(self, name: str, d: dict, rows: DataFrame) -> None:
-        number = (d["snapshot"] if d["snapshot"] is not None else -1) + 1
-        rows.write.mode("overwrite").parquet(f"{self.folder}/{name}/{number:08d}")
-        self._save(name, {**d, "snapshot": number})
+    def _change(self, name: str, d: dict, rows: DataFrame | None = None, closings: DataFrame | None = None) -> None:
+        """Write a change's own rows, then the definition that names them."""
+        d = {**d, "parts": list(d["parts"]), "closings": list(d["closings"])}
+        for df, kind in ((rows, "parts"), (closings, "closings")):
+            if df is not None:
+                df.write.mode("overwrite").parquet(self._part(name, d["next_part"]))
+                d[kind].append(d["next_part"])
+                d["next_part"] += 1
+        self._save(name, d)
+
+    def _replace(self, name: str, d: dict, rows: DataFrame) -> None:
+        """One part in place of all. Those that the change before left behind are deleted; the last ones stay for their readers."""
+        rows.write.mode("overwrite").parquet(self._part(name, d["next_part"]))
+        self._save(name, {**d, "parts": [d["next_part"]], "closings": [], "next_part": d["next_part"] + 1, "stale": [*d["parts"], *d["closings"]]})
+        for n in d["stale"]:
+            fs, p = self._fs(self._part(name, n))
+            fs.delete(p, True)
 
     # ---- statements
 
@@ -124,12 +141,12 @@ class TableStore:
                 raise ConstraintError(f"unknown column in {u}")
         for c in columns:
             c["not_null"] |= c["name"] in key
-        self._save(s.name, {"columns": columns, "key": key, "uniques": uniques, "indexes": {}, "snapshot": None, "next_row": 1, "next_version": 1})
+        self._save(s.name, {"columns": columns, "key": key, "uniques": uniques, "indexes": {}, "parts": [], "closings": [], "stale": [], "next_part": 0, "next_row": 1, "next_version": 1})
         return 0
 
     def add_columns(self, name: str, columns: tuple[A.ColumnDef, ...]) -> int:
         d = self.definition(name)
-        empty = d["snapshot"] is None
+        empty = not d["parts"]
         for c in columns:
             new = self._column(c, d["next_version"])
             if new["name"] in [x["name"] for x in d["columns"]]:
@@ -198,7 +215,7 @@ class TableStore:
         n = self._check(name, d, rows)
         ends = rows.agg(F.max("_row_id"), F.max("_version_id")).first()
         d["next_row"], d["next_version"] = max(d["next_row"], (ends[0] or 0) + 1), max(d["next_version"], (ends[1] or 0) + 1)
-        self._write(name, d, self.read(name).unionByName(rows))
+        self._change(name, d, rows)
         return n
 
     def load(self, name: str, df: DataFrame, now: int) -> int:
@@ -252,8 +269,6 @@ class TableStore:
 
     def update(self, name: str, assignments: dict[str, A.Expr], where: A.Bool, now: int) -> int:
         """Close the rows' versions and open new ones; returns how many."""
-        from pyspark.sql import Window
-
         d = self.definition(name)
         by_name = {c["name"]: c for c in d["columns"]}
         if set(assignments) - set(by_name):
@@ -262,37 +277,44 @@ class TableStore:
             raise ConstraintError("SET takes literals")
         dotted, hit = self._split(name, where)
         old = self._plain(dotted.where(hit), name)
-        order = Window.partitionBy("_group_id").orderBy("_row_id")
-        new = old.withColumn("_version_id", (F.row_number().over(order) + d["next_version"] - 1).cast("long"))
+        # a row has one open version, so its number makes the new version's: no order over all rows is needed
+        new = old.withColumn("_version_id", (F.col("_row_id") + d["next_version"]).cast("long"))
         new = new.withColumn("_valid_from", F.lit(now).cast("long")).withColumn("_created_at", F.lit(now).cast("long"))
         for n, v in assignments.items():
             new = new.withColumn(n, F.lit(self._literal(v, by_name[n])).cast(by_name[n]["type"]))
-        kept = self._plain(dotted.withColumn(f"{name}._valid_until", F.when(hit, F.lit(now)).otherwise(F.col(f"`{name}._valid_until`"))), name)
         for c in (c["name"] for c in d["columns"] if c["not_null"]):
             if not new.where(F.col(c).isNull()).isEmpty():
                 raise ConstraintError(f"{c} must not be null")
-        for u in d["uniques"]:
-            self._unique(temporal.row_viewport(kept).unionByName(temporal.row_viewport(new)), u)
+        if set(assignments) & {c for u in d["uniques"] for c in u}:
+            others = temporal.row_viewport(self._plain(dotted.where(~hit), name))
+            for u in d["uniques"]:
+                self._unique(others.unionByName(temporal.row_viewport(new)), u)
         n = new.count()
         if n:
-            d["next_version"] += n
-            self._write(name, d, kept.unionByName(new))
+            d["next_version"] += d["next_row"]
+            self._change(name, d, new, self._closings(old, now))
         return n
 
+    @staticmethod
+    def _closings(old: DataFrame, now: int) -> DataFrame:
+        return old.select("_version_id", F.lit(now).cast("long").alias("_valid_until"))
+
     def delete(self, name: str, where: A.Bool, now: int) -> int:
         """Close the rows' versions; returns how many."""
         d = self.definition(name)
         dotted, hit = self._split(name, where)
-        n = dotted.where(hit).count()
+        old = self._plain(dotted.where(hit), name)
+        n = old.count()
         if n:
-            self._write(name, d, self._plain(dotted.withColumn(f"{name}._valid_until", F.when(hit, F.lit(now)).otherwise(F.col(f"`{name}._valid_until`"))), name))
+            self._change(name, d, closings=self._closings(old, now))
         return n
 
     # ---- maintenance
 
     def compact(self, name: str, now: int, keep: int = temporal.WEEK) -> None:
+        """Merge all parts, without versions that ended longer ago than ``keep``."""
         d = self.definition(name)
-        self._write(name, d, temporal.compact(self.read(name), now, keep))
+        self._replace(name, d, temporal.compact(self.read(name), now, keep))
 
     def merge_nodes(self, name: str, mapping: DataFrame) -> None:
         """Point node references at survivors: ``mapping`` has columns absorbed, survivor."""
@@ -301,7 +323,7 @@ class TableStore:
         for c in (c["name"] for c in d["columns"] if c["node"] or c["declared"] == "noderef"):
             m = mapping.select(F.col("absorbed").alias("_a"), F.col("survivor").alias("_s"))
             rows = rows.join(m, F.col(c) == F.col("_a"), "left").withColumn(c, F.coalesce("_s", c)).drop("_a", "_s")
-        self._write(name, d, rows)
+        self._replace(name, d, rows)
 
     def stats(self, name: str) -> DataFrame:
         """Per group: versions, active rows, and distinct values of each indexed column."""

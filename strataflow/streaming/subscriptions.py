@@ -2,20 +2,22 @@
 
 A delta batch is a DataFrame of changes; applying it gives a new graph, of which only the part that changed can alter
 results. Queries of one node pattern and at most one edge, with filters, are maintained from the changed rows alone
-(``incremental``); others are run again and compared. Either way a poll gives inserted and deleted rows.
+(``incremental``). Aggregates over such a pattern keep the multiset of the rows below them: changed rows add to it or retract
+from it, and only the groups that they touch are aggregated again. Others, and any query after a gap in the batches'
+generations, are run again and compared. Either way a poll gives inserted and deleted rows.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strataflow import shared
 from strataflow.model import EDGES, NODES, Graph, conform
 from strataflow.plans import ast as A
-from strataflow.plans.compiler import AGGREGATES, Compiler, walk
+from strataflow.plans.compiler import AGGREGATES, Compiler, name_of, walk
 
 MOST = 100
 DELTAS = (
@@ -65,6 +67,73 @@ def incremental(q: A.Query) -> bool:
     return not calls and not any(i.distinct for i in q.items)
 
 
+@dataclass(frozen=True)
+class Grouping:
+    """An aggregating query in two steps: its rows (keys k0.., arguments v0.., as a query) and what each item makes of them."""
+
+    rows: A.Query
+    items: tuple[tuple[str, str, A.Call | None], ...]  # (output name, column of the rows, aggregate or None)
+
+    @property
+    def keys(self) -> list[str]:
+        return [c for _, c, call in self.items if call is None]
+
+    def multiset(self, rows: DataFrame, sign: int = 1) -> DataFrame:
+        return rows.groupBy(*rows.columns).agg((sign * F.count("*")).cast("long").alias("_n"))
+
+    def aggregate(self, state: DataFrame) -> DataFrame:
+        """The query's result from a multiset of its rows."""
+
+        def value(column: str, call: A.Call) -> Column:
+            v, n = F.col(column), F.col("_n")
+            filled = F.when(v.isNotNull(), n)
+            if call.name == "count":
+                if isinstance(call.args[0], A.Star):
+                    return F.coalesce(F.sum(n), F.lit(0)).cast("long")
+                return F.count_distinct(v) if call.distinct else F.coalesce(F.sum(filled), F.lit(0)).cast("long")
+            if call.name == "sum":
+                return F.sum_distinct(v) if call.distinct else F.sum(v * n)
+            if call.name == "avg":
+                return F.sum(v * n) / F.sum(filled)
+            if call.name == "collect":
+                all_values = F.flatten(F.collect_list(F.array_repeat(F.struct(v.alias("x")), F.lit(1) if call.distinct else n.cast("int"))))
+                all_values = F.array_distinct(all_values) if call.distinct else all_values
+                return F.transform(F.array_sort(all_values), lambda s: s["x"])
+            return {"min": F.min, "max": F.max}[call.name](v)
+
+        aggs = [value(c, call).alias(f"_r{i}") for i, (_, c, call) in enumerate(self.items) if call is not None]
+        out = state.groupBy(*dict.fromkeys(self.keys)).agg(*aggs) if self.keys else state.agg(*aggs)
+        return out.select(*(F.col(c if call is None else f"_r{i}").alias(name) for i, (name, c, call) in enumerate(self.items)))
+
+
+def grouping(q: A.Query) -> Grouping | None:
+    """How to maintain a query whose items are keys and plain aggregates over one pattern of at most one edge; None for others."""
+    calls = [isinstance(i.expr, A.Call) and i.expr.name in AGGREGATES for i in q.items]
+    if not any(calls) or any(i.distinct for i in q.items):
+        return None
+    plain = [i.expr for i, call in zip(q.items, calls) if not call]
+    nested = [x for e in plain for x in walk(e) if isinstance(x, A.Call) and x.name in AGGREGATES]
+    aliases = {i.alias: i.expr for i in q.items if i.alias}
+    grouped = [aliases.get(e.name, e) if isinstance(e, A.Var) else e for e in q.group_by]
+    if nested or any(e not in plain for e in grouped) or any(len(i.expr.args) != 1 for i, call in zip(q.items, calls) if call):
+        return None
+    items, rows, names = [], [], []
+    for k, (item, call) in enumerate(zip(q.items, calls)):
+        base = item.alias or name_of(item.expr, k)
+        name, n = base, 1
+        while name in names:
+            n += 1
+            name = f"{base}_{n}"
+        names.append(name)
+        argument = item.expr.args[0] if call else item.expr
+        if call and item.expr.name == "count" and isinstance(argument, A.Var) and argument.name in {x.var for p in q.patterns for x in p.nodes}:
+            argument = A.Prop(argument.name, "id")
+        items.append((name, f"c{k}", item.expr if call else None))
+        rows.append(A.Item(A.Literal(1) if isinstance(argument, A.Star) else argument, f"c{k}"))
+    below = replace(q, items=tuple(rows), group_by=())
+    return Grouping(below, tuple(items)) if incremental(below) else None
+
+
 def triggers(q: A.Query) -> tuple[set[str] | None, set[str] | None]:
     """(labels, edge types) that can matter to the query, lower case; None: any. Batches without them are skipped."""
     labels = [label.lower() for p in q.patterns for n in p.nodes for label in n.labels]
@@ -83,15 +152,26 @@ class Subscription:
     id: int
     generation: int = 0
     pending: list = field(default_factory=list)
+    last: int | None = None  # the last generation of deltas that was seen
 
     def __post_init__(self):
         if len(self.engine.subscriptions) >= MOST:
             raise ValueError(f"more than {MOST} subscriptions")
-        self.incremental = incremental(self.query)
-        self.result = shared.cut(self._run(self.engine.graph), "subscription")
+        self.grouping = grouping(self.query)
+        self.incremental = self.grouping is not None or incremental(self.query)
+        self.start()
+
+    def start(self) -> None:
+        """The result on the engine's present graph."""
+        graph = self.engine.graph
+        if self.grouping:
+            self.state = shared.cut(self.grouping.multiset(self._run(graph, self.grouping.rows)), "state")
+            self.result = shared.cut(self.grouping.aggregate(self.state), "subscription")
+        else:
+            self.result = shared.cut(self._run(graph), "subscription")
 
-    def _run(self, graph: Graph) -> DataFrame:
-        return Compiler(self.engine.spark, graph, self.engine.registered, self.engine._clock(), self.engine.compat).compile(self.query)
+    def _run(self, graph: Graph, query: A.Query | None = None) -> DataFrame:
+        return Compiler(self.engine.spark, graph, self.engine.registered, self.engine._clock(), self.engine.compat).compile(query or self.query)
 
     def concerns(self, deltas: DataFrame) -> bool:
         """Whether the batch can change the result; edge changes matter by their type, removals and merges always."""
@@ -120,17 +200,45 @@ class Subscription:
             return keep(before), keep(after)
         return part(before), part(after)
 
-    def advance(self, before: Graph, after: Graph, deltas: DataFrame) -> tuple[DataFrame, DataFrame] | None:
-        """(inserted, deleted) rows; None when the batch does not concern the query."""
-        if not self.concerns(deltas):
+    def _regrouped(self, before: Graph, after: Graph) -> tuple[DataFrame, DataFrame]:
+        """(old, new) rows of the groups that the change of ``before`` into ``after`` touches; the state moves on."""
+        g = self.grouping
+        signed = g.multiset(self._run(after, g.rows)).unionByName(g.multiset(self._run(before, g.rows), -1))
+        columns = [c for c in signed.columns if c != "_n"]
+        total = lambda df: df.groupBy(*columns).agg(F.sum("_n").alias("_n"))
+        delta = shared.cut(total(signed).where("_n <> 0"), "delta")
+        state = shared.cut(total(self.state.unionByName(delta)).where("_n > 0"), "state")
+        old, new = self.state, state
+        if g.keys:
+            keys = delta.select(*(F.col(k).alias(f"_{k}") for k in g.keys)).distinct()
+            same = lambda df: [df[k].eqNullSafe(keys[f"_{k}"]) for k in g.keys]
+            old, new = old.join(keys, same(old), "left_semi"), new.join(keys, same(new), "left_semi")
+        out = shared.cut(g.aggregate(old), "old"), shared.cut(g.aggregate(new), "new")
+        shared.drop(self.state, delta)
+        self.state = state
+        return out
+
+    def advance(self, before: Graph, after: Graph, deltas: DataFrame, span: tuple[int | None, int | None] = (None, None)) -> tuple[DataFrame, DataFrame] | None:
+        """(inserted, deleted) rows; None when the batch does not concern the query. ``span``: the batch's least and
+        greatest generation; when the least does not follow the last one seen, changes were missed and the query is run again."""
+        gap = self.last is not None and span[0] is not None and span[0] > self.last + 1
+        self.last = span[1] if span[1] is not None else self.last
+        if not gap and not self.concerns(deltas):
             return None
-        if self.incremental:
+        kept = self.result
+        if gap or not self.incremental:
+            self.start()
+            old, new = kept, self.result
+        elif self.grouping:
+            old, new = self._regrouped(*self._touched(before, after, deltas))
+        else:
             a, b = self._touched(before, after, deltas)
             old, new = shared.cut(self._run(a), "old"), shared.cut(self._run(b), "new")
-        else:
-            old, new = self.result, shared.cut(self._run(after), "new")
         inserted, deleted = shared.cut(new.exceptAll(old), "inserted"), shared.cut(old.exceptAll(new), "deleted")
-        self.result = shared.cut(self.result.exceptAll(deleted).unionByName(inserted), "subscription") if self.incremental else new
+        if self.result is kept:
+            self.result = shared.cut(kept.exceptAll(deleted).unionByName(inserted), "subscription")
+            shared.drop(old, new)
+        shared.drop(kept)
         self.generation += 1
         self.pending.append((inserted, deleted))
         return inserted, deleted
@@ -141,29 +249,48 @@ class Subscription:
         return out
 
 
-def push(engine, deltas: DataFrame) -> dict[int, tuple[DataFrame, DataFrame]]:
-    """Apply a batch to an engine's graph and advance its subscriptions."""
+def push(engine, deltas: DataFrame, keep: bool = False) -> dict[int, tuple[DataFrame, DataFrame]]:
+    """Apply a batch to an engine's graph and advance its subscriptions. The tables of the graph before go, unless ``keep``."""
     deltas = shared.cut(deltas, "deltas")
     before = engine.graph
     after = apply_deltas(before, deltas)
     after = Graph(shared.cut(after.nodes, "nodes"), shared.cut(after.edges, "edges"))
     engine.graph = after
+    span = tuple(deltas.agg(F.min("generation"), F.max("generation")).first())
     changed = {}
     for s in engine.subscriptions.values():
-        change = s.advance(before, after, deltas)
+        change = s.advance(before, after, deltas, span)
         if change is not None:
             changed[s.id] = change
+    shared.drop(deltas)
+    if not keep:
+        shared.drop(before.nodes, before.edges)
     return changed
 
 
 def follow(engine, deltas: DataFrame, checkpoint: str, interval: str | None = None):
-    """Run a streaming DataFrame of deltas into the engine. Batches that were already applied are skipped by their number."""
-    state = {"last": -1}
+    """Run a streaming DataFrame of deltas into the engine.
+
+    After every batch the graph's tables and the batch's number are noted beside the checkpoint. A restart takes up the
+    noted graph, starts the subscriptions on it, and skips a batch that it already has.
+    """
+    note = f"{checkpoint.rstrip('/')}-graph.json"
+    state = shared.load_json(engine.spark, note) or {"batch": -1}
+    if state["batch"] >= 0:
+        engine.graph = Graph(engine.spark.read.parquet(state["nodes"]), engine.spark.read.parquet(state["edges"]))
+        for s in engine.subscriptions.values():
+            s.start()
+            s.last = state["generation"]
 
     def batch(df: DataFrame, number: int) -> None:
-        if number > state["last"]:
-            push(engine, df)
-            state["last"] = number
+        if number <= state["batch"]:
+            return
+        before = engine.graph
+        push(engine, df, keep=True)
+        last = max((s.last for s in engine.subscriptions.values() if s.last is not None), default=None)
+        state.update(batch=number, nodes=engine.graph.nodes._written_to, edges=engine.graph.edges._written_to, generation=last)
+        shared.save_json(engine.spark, note, state)
+        shared.drop(before.nodes, before.edges)
 
     w = deltas.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (w.trigger(processingTime=interval) if interval else w.trigger(availableNow=True)).start()

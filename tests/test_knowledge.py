@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from strataflow.functions import scoring
 from strataflow.functions import text as X
-from strataflow.operators import inference, memory, ontology, search
+from strataflow.operators import inference, memory, ontology, parsing, search
 from strataflow.sources import importers
 from strataflow.streaming import events as streams
 
@@ -64,7 +64,7 @@ def test_ledgers_and_debts(spark):
     assert rows(memory.simplify_debts(net)) == [("EUR", "A", "B", 6.0), ("EUR", "A", "C", 5.5)]
     assert rows(memory.pair_balances(p)) == [("A", "B", "EUR", 10.0), ("A", "C", "EUR", 1.5), ("B", "C", "EUR", 4.0)]
     t = spark.createDataFrame([(1, "Alice paid Bob $12.50 for lunch. Bob lent Carol twenty dollars.")], "id long, text string")
-    assert rows(memory.parse_ledger(t).select("payer", "payee", "amount")) == [("Alice", "Bob", 12.5), ("Bob", "Carol", 20.0)]
+    assert rows(parsing.parse_ledger(t).select("payer", "payee", "amount")) == [("Alice", "Bob", 12.5), ("Bob", "Carol", 20.0)]
 
 
 def test_facts_supersede_and_cascade(spark):
