@@ -34,7 +34,8 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated, cut or left out, so that sources meet their target weights."""
-    cuts = scratch.cut(mixing.cuts(scratch.cut(mixing.sized(docs), "sizes")), "cuts")
+    sized = scratch.cut(mixing.sized(docs), "sizes", files=scratch.tasks(docs))
+    cuts = scratch.cut(mixing.cuts(sized), "cuts", narrow=True)
     return _packed(mixing.apply_cuts(docs, cuts), docs)
 
 

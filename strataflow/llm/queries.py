@@ -65,7 +65,8 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sized = scratch.cut(mixing.sized(_table(spark, sf_dir, "documents")), "sizes")
+    docs = _table(spark, sf_dir, "documents")
+    sized = scratch.cut(mixing.sized(docs), "sizes", files=scratch.tasks(docs))
     return mixing.mix(sized).select("doc_id", "size", "source_size", "target", "taken")
 
 

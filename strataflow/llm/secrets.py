@@ -199,7 +199,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text: str = "text", q:
     The scan's spans, without the texts, are written once; the control and the result read them.
     """
     t = F.coalesce(F.col(text), F.lit(""))
-    scanned = scratch.cut(docs.select(F.col(id_col), _base(t).alias("base"), _candidates(t).alias("candidates"), F.lit(1).alias("_sf_one")), "secrets")
+    scanned = scratch.cut(docs.select(F.col(id_col), _base(t).alias("base"), _candidates(t).alias("candidates"), F.lit(1).alias("_sf_one")), "secrets", files=scratch.tasks(docs))
     joined = scanned.join(F.broadcast(_limits(scanned, q)), "_sf_one")
     return joined.select(id_col, _judged(F.col("base"), F.col("candidates")).alias("secrets"))
 
