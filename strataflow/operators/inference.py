@@ -156,7 +156,7 @@ def event_graph(events: DataFrame, window: int = HOUR, least: float = 0.3, simil
     kinds = [("Agent", F.col("agent_id")), ("Event", F.col("event_id")), ("Context", F.col("context")), ("Goal", F.explode("goals")), ("Tool", F.col("tool")), ("Result", F.col("result"))]
     nodes = None
     for kind, name in kinds:
-        named = e.select(name.cast("string").alias("label"), "ts").where("label is not null and label <> '|'").groupBy("label").agg(F.min("ts").alias("created_at"), F.max("ts").alias("updated_at"))
+        named = e.select(name.alias("label"), "ts").withColumn("label", F.col("label").cast("string")).where("label is not null and label <> '|'").groupBy("label").agg(F.min("ts").alias("created_at"), F.max("ts").alias("updated_at"))
         part = named.select(ident(kind, F.col("label")).alias("id"), F.lit(kind).alias("node_type"), F.lit(kind).alias("concept_type"), "label", "created_at", "updated_at")
         nodes = part if nodes is None else nodes.unionByName(part)
 
