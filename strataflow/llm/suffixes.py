@@ -12,8 +12,10 @@ or before in the same document. Strings are judged on the input.
    Larsson-Sadakane refinement (ranks double in depth, only unresolved groups are sorted again), and
    Kasai's common prefixes, filled from the irreducible ones: neighbours with LENGTH common bytes
    are one string, of which the earliest start stays.
-4. Merging. Minimizers that very many documents share are split over several shards. Their sorted
-   distinct windows are merged by binary search, as are those of a group too large for one array.
+4. Merging. Minimizers that very many documents share are split over several shards, whose earliest windows meet again by
+   a hash of their bytes: hashes are counted first, and only windows whose hash several shards have are sent, dealt by it. So
+   what documents add around a common passage goes nowhere, and the passage's windows are spread over all tasks. Sorted
+   distinct windows of shards are merged by binary search, as are those of a group too large for one array.
 
 Later copies of a whole text of LENGTH bytes or more lose everything and are settled by digest.
 
@@ -477,9 +479,11 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             merged = list(_merge(shards))
             yield _pieces(merged)
             if group and group[0][1] > 0:
-                lost = {(r[3], r[4], p) for r in merged for p in range(r[5], r[6])}
+                lost: dict[tuple, list[tuple]] = {}
+                for r in merged:
+                    lost.setdefault((r[3], r[4]), []).append((r[5], r[6]))
                 for items in shards:
-                    yield _pieces([(1, x[0], group[0][1], x[2], x[3], p, p + 1, x[6][p - x[4] : p - x[4] + LENGTH]) for x in items for p in range(x[4], x[5]) if (x[2], x[3], p) not in lost])
+                    yield _pieces([(1, x[0], group[0][1], x[2], x[3], a, z, x[6][a - x[4] : z - 1 - x[4] + LENGTH]) for x in items for a, z in _without(x[4], x[5], lost.get((x[2], x[3]), ()))])
         else:
             held.extend(group)
             size += group_size
@@ -507,24 +511,74 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from settled(held)
 
 
+def _without(start: int, end: int, gone) -> Iterator[tuple[int, int]]:
+    """The parts of a range that none of the ranges ``gone`` covers."""
+    for a, z in sorted(gone):
+        if a > start and start < end:
+            yield start, min(a, end)
+        start = max(start, z)
+    if start < end:
+        yield start, end
+
+
+def _windows(segments: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, segment, position in it, position in all) of every window of the segments laid end to end."""
+    data = np.frombuffer(b"".join(segments), dtype=np.uint8)
+    sizes = np.array([len(x) for x in segments], dtype=np.int64)
+    offset, number = np.cumsum(sizes) - sizes, sizes - LENGTH + 1
+    seg = np.repeat(np.arange(len(segments)), number)
+    nth = np.arange(len(seg)) - np.repeat(np.cumsum(number) - number, number)
+    at = offset[seg] + nth
+    return B.span_hashes(B.prefix_hashes(data), at, at + LENGTH).view(np.int64), seg, nth, at
+
+
+def _window_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i in range(0, batch.num_rows, 2000):
+            h, *_ = _windows(batch.column("segment").slice(i, 2000).to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array(h)], ["k"])
+
+
+WINDOW = "k long, salt int, doc long, mark long, s long, window binary"
+
+
+def _shared_windows(bits):
+    """WINDOW rows of the windows whose hash may be in the bitmap."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 2000):
+                part = batch.slice(i, 2000)
+                segments = part.column("segment").to_pylist()
+                h, seg, nth, at = _windows(segments)
+                some = np.flatnonzero(bitmap.contains(bits.value, h))
+                salt, doc, mark, s = (np.asarray(part.column(c))[seg[some]] for c in ("salt", "doc", "mark", "s"))
+                data = b"".join(segments)
+                windows = [data[x : x + LENGTH] for x in at[some].tolist()]
+                yield pa.RecordBatch.from_arrays([pa.array(h[some]), pa.array(salt), pa.array(doc), pa.array(mark), pa.array(s + nth[some]), pa.array(windows, pa.binary())], ["k", "salt", "doc", "mark", "s", "window"])
+
+    return run
+
+
 def _settle_across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Kind 1 rows sorted by (h, salt): merge the shards of each minimizer."""
-    shards: list[list[tuple]] = []
+    """WINDOW rows sorted by k: merge the shards' windows, whole hashes at a time. A hash has a row for each shard at most."""
+    held: list[tuple] = []
 
     def close() -> Iterator[pa.RecordBatch]:
-        rows = list(_merge(shards))
+        shards: dict[int, list[tuple]] = {}
+        for _, salt, doc, mark, s, window in held:
+            shards.setdefault(salt, []).append((0, 0, doc, mark, s, s + 1, window))
+        rows = list(_merge(list(shards.values())))
         if rows:
             yield _pieces(rows)
-        shards.clear()
+        held.clear()
 
     for batch in batches:
-        for x in zip(*(batch.column(c).to_pylist() for c in ("h", "salt", "doc", "mark", "s", "e", "segment"))):
-            if shards and shards[-1][0][0] != x[0]:
+        for x in zip(*(batch.column(c).to_pylist() for c in ("k", "salt", "doc", "mark", "s", "window"))):
+            if len(held) >= 20000 and held[-1][0] != x[0]:
                 yield from close()
-            if not shards or shards[-1][0][1] != x[1]:
-                shards.append([])
-            shards[-1].append(x)
-    if shards:
+            held.append(x)
+    if held:
         yield from close()
 
 
@@ -583,7 +637,11 @@ def dedup(docs: DataFrame) -> DataFrame:
     candidates = scratch.cut(wanted.select("doc", "mark", "text", "anchors"), "candidates")
     pieces = candidates.mapInArrow(scratch.lean(_segment_rows), PIECE).repartition("h", "salt").sortWithinPartitions("h", "salt")
     settled = scratch.cut(pieces.mapInArrow(scratch.lean(_settle), PIECE), "settled")
-    across = settled.where("kind = 1").repartition("h").sortWithinPartitions("h", "salt").mapInArrow(scratch.lean(_settle_across), PIECE)
+    earliest = settled.where("kind = 1")
+    several = earliest.select("segment").mapInArrow(scratch.lean(_window_hashes), "k long").groupBy("k").agg(F.count("*").alias("n")).where("n > 1").select("k")
+    several = spark.sparkContext.broadcast(bitmap.build(scratch.cut(several, "windows", narrow=True), "k"))
+    windows = earliest.select("salt", "doc", "mark", "s", "segment").mapInArrow(scratch.lean(_shared_windows(several)), WINDOW)
+    across = windows.repartition("k").sortWithinPartitions("k").mapInArrow(scratch.lean(_settle_across), PIECE)
     spans = settled.where("kind = 0").unionByName(across).groupBy("doc", "mark").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
     spans = spans.withColumnRenamed("doc", "_d").withColumnRenamed("mark", "_m")
     results = candidates.select("doc", "mark", "text").join(spans, (F.col("doc") == F.col("_d")) & (F.col("mark") == F.col("_m")))
