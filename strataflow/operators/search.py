@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strataflow import shared
 from strataflow.functions import scoring
 from strataflow.functions.text import simple_tokens
 
@@ -20,11 +21,13 @@ def postings(docs: DataFrame, key: str, tokens: Column) -> DataFrame:
 def bm25(docs: DataFrame, query: list[str], key: str = "doc_id", text: str = "text", tokens: Column | None = None, k1: float = K1, b: float = B) -> DataFrame:
     """(key, score) of the documents with a query term; idf = ln((N - df + 0.5) / (df + 0.5) + 1).
 
-    Query terms are filtered out of each document's tokens before anything is shuffled.
+    Query terms are filtered out of each document's tokens, and these narrow rows are written once: texts are read and
+    tokenised in one pass, and nothing but hits is shuffled.
     """
     terms = sorted(set(query))
     tok = tokens if tokens is not None else simple_tokens(F.col(text))
     t = docs.select(key, tok.alias("_tokens")).select(key, F.size("_tokens").alias("length"), F.filter("_tokens", lambda x: x.isin(terms)).alias("_hits"))
+    t = shared.cut(t, "terms", files=shared.tasks(docs))
     total = t.agg(F.count("*").alias("n_docs"), F.avg("length").alias("avg_length"))
     hits = t.where(F.size("_hits") > 0).select(key, "length", F.explode("_hits").alias("term")).groupBy(key, "length", "term").agg(F.count("*").alias("tf"))
     df = hits.groupBy("term").agg(F.count("*").alias("df"))  # as many rows as query terms

@@ -114,15 +114,18 @@ def asof_join(left: DataFrame, right: DataFrame, on: list[str], left_time: str,
 def interval_join(left: DataFrame, right: DataFrame, lo: tuple[str, str], ro: tuple[str, str], width: int, on: list[str] = (), horizon: int | None = None) -> DataFrame:
     """Pairs of rows whose half-open intervals overlap, as an equi-join on time buckets of ``width``.
 
-    A pair is kept in the bucket of the later start only, so no deduplication is needed. ``lo`` and
-    ``ro`` name (start, end) columns, which must differ between the sides; open ends count as ``horizon``.
+    A pair is kept in the bucket of the later start only, so no deduplication is needed, and no interval is spread beyond
+    the last start of all. ``lo`` and ``ro`` name (start, end) columns, which must differ between the sides; open ends
+    count as ``horizon``, or without one as endless.
     """
     far = F.lit(horizon if horizon is not None else (1 << 63) - 1).cast("long")
+    starts = [df.agg(F.max(start)).first()[0] for df, start in ((left, lo[0]), (right, ro[0]))]
+    latest = F.lit(max([0, *(s for s in starts if s is not None)])).cast("long")
 
     def spread(df: DataFrame, start: str, end: str) -> DataFrame:
         s = F.coalesce(F.col(start), F.lit(0).cast("long"))
         e = F.coalesce(F.col(end), far)
-        first, last = F.floor(s / width), F.floor(F.least(e - 1, far) / width)
+        first, last = F.floor(s / width), F.floor(F.least(e - 1, latest) / width)
         return df.where(s < e).withColumn("_bucket", F.explode(F.sequence(first, F.greatest(first, last))))
 
     a, b = spread(left, *lo), spread(right, *ro)

@@ -42,12 +42,6 @@ tql("shortest_path_hops", graph, 'MATCH (s:Supplier), (r:Region {name: "AFRICA"}
     "select s_name supplier, case when n_regionkey = r_regionkey then 2 end::int hops from supplier join nation on s_nationkey = n_nationkey, region where r_name = 'AFRICA'", lambda df: df.withColumn("hops", F.when(F.col("hops") > 0, F.col("hops"))))
 
 
-def location(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Suppliers, nations and regions: a small graph."""
-    g = graph(spark, sf_dir).graph
-    return g.nodes.where("concept_type in ('Supplier', 'Nation', 'Region')"), g.edges.where(f"assoc_type in ('location:in_nation', 'location:in_region') and source >= {4 * SPAN}")
-
-
 def commerce(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """All nodes and edges."""
     g = graph(spark, sf_dir).graph
@@ -57,9 +51,11 @@ def commerce(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 #: Scores of large graphs are far below the operators' tolerance, which would end at once.
 SETTLED = 1e-9
 
-LOCATION = (
-    f"with n as (select {4 * SPAN} + s_suppkey id from supplier union all select {5 * SPAN} + n_nationkey from nation union all select {6 * SPAN} + r_regionkey from region), "
-    f"e as (select {4 * SPAN} + s_suppkey s, {5 * SPAN} + s_nationkey t from supplier union all select {5 * SPAN} + n_nationkey, {6 * SPAN} + n_regionkey from nation) "
+COMMERCE = (
+    f"with recursive n as (select {SPAN} + c_custkey id from customer union all select {2 * SPAN} + o_orderkey from orders union all select {3 * SPAN} + p_partkey from part union all select {4 * SPAN} + s_suppkey from supplier "
+    f"union all select {5 * SPAN} + n_nationkey from nation union all select {6 * SPAN} + r_regionkey from region), "
+    f"e as (select {SPAN} + o_custkey s, {2 * SPAN} + o_orderkey t, 1.0::double w from orders union all select {2 * SPAN} + l_orderkey, {3 * SPAN} + l_partkey, l_discount from lineitem union all select {3 * SPAN} + l_partkey, {4 * SPAN} + l_suppkey, l_discount from lineitem "
+    f"union all select {SPAN} + c_custkey, {5 * SPAN} + c_nationkey, 1.0 from customer union all select {4 * SPAN} + s_suppkey, {5 * SPAN} + s_nationkey, 1.0 from supplier union all select {5 * SPAN} + n_nationkey, {6 * SPAN} + n_regionkey, 1.0 from nation) "
 )
 
 
@@ -74,18 +70,13 @@ def chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 CHAIN = "with c as (select a.user_id s, b.user_id t, epoch_us(b.ts) * 1000 mo, b.value w from events a join events b on b.event_id = a.event_id + 1) "
 
 
-@query(LOCATION + "select n.id node, count(e.s) degree, round(count(e.s) / (select count(*) - 1 from n), 9) score from n left join e on e.s = n.id group by 1")
+@query(COMMERCE + "select n.id node, coalesce(d, 0) degree, round(coalesce(d, 0) / (select count(*) - 1 from n), 9) score from n left join (select s, count(*) d from e group by 1) on s = n.id")
 def degree_centrality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(centrality.degree_centrality(*location(spark, sf_dir)), 9, "score")
-
-
-@query()
-def degree_centrality_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(centrality.degree_centrality(*commerce(spark, sf_dir)), 9, "score")
 
 
 def pagerank_sql(rounds: int) -> str:
-    sql = LOCATION + ", k as (select count(*)::double k from n), d as (select s, count(*) g from e group by 1), r0 as (select id, 1 / k x from n, k)"
+    sql = COMMERCE + ", k as (select count(*)::double k from n), d as (select s, count(*) g from e group by 1), r0 as (select id, 1 / k x from n, k)"
     for i in range(1, rounds + 1):
         p = f"r{i - 1}"
         sql += (
@@ -97,13 +88,13 @@ def pagerank_sql(rounds: int) -> str:
 
 @query(pagerank_sql(4))
 def pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(centrality.pagerank(*location(spark, sf_dir), rounds=4, tolerance=None), 9, "score")
+    return rounded(centrality.pagerank(*commerce(spark, sf_dir), rounds=4, tolerance=None), 9, "score")
 
 
 @query(pagerank_sql(4).replace("select id, 1 / k x from n, k", f"select id, case when id = {5 * SPAN} then 1.0 else 0.0 end x from n, k").replace("0.15 / k + 0.85", f"(case when n.id = {5 * SPAN} then 0.15 else 0.0 end) + 0.85").replace("in (select s from d)) / k)", f"in (select s from d)) * (case when n.id = {5 * SPAN} then 1.0 else 0.0 end))"))
 def personalized_pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     start = spark.range(1).select(F.lit(5 * SPAN).cast("long").alias("id"))
-    return rounded(centrality.personalized_pagerank(*location(spark, sf_dir), start, rounds=4, tolerance=None), 9, "score")
+    return rounded(centrality.personalized_pagerank(*commerce(spark, sf_dir), start, rounds=4, tolerance=None), 9, "score")
 
 
 @query()
@@ -125,9 +116,13 @@ def connected_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components.connected_components(g.nodes.where("concept_type in ('Customer', 'Order')"), g.edges.where("assoc_type = 'commerce:placed'"))
 
 
-@query()
+@query(
+    "with recursive c as (select distinct a.user_id s, b.user_id t from events a join events b on b.event_id = a.event_id + 1 where a.user_id % 7 <= b.user_id % 7), u as (select distinct user_id id from events), "
+    "r as (select id a, id b from u union select r.a, c.t from r join c on c.s = r.b) select x.a node, max(x.b) component from r x join r y on x.a = y.b and x.b = y.a group by 1"
+)
 def strongly_connected_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = chain(spark, sf_dir).where("weight > 60")
+    """Of all users, over steps between consecutive events that do not lead to a smaller remainder by 7: a component lies within one remainder."""
+    e = chain(spark, sf_dir).where("source % 7 <= target % 7")
     return components.strongly_connected_components(table(spark, sf_dir, "events").select(F.col("user_id").alias("id")), e)
 
 
@@ -160,21 +155,13 @@ def louvain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    LOCATION + ", m as (select n.id, case when n.id >= 6000000000000 then n.id - 6000000000000 when n.id >= 5000000000000 then n_regionkey else r end c from n "
-    "left join nation on n.id - 5000000000000 = n_nationkey left join (select s_suppkey, n_regionkey r from supplier join nation on s_nationkey = n_nationkey) on n.id - 4000000000000 = s_suppkey), "
-    "p as (select s a, t b from e union all select t, s from e), q as (select x.c, count(*) k, sum((x.c = y.c)::int) i from p join m x on x.id = a join m y on y.id = b group by 1) "
-    "select round(sum(i / (select sum(k) from q) - (k / (select sum(k) from q)) ** 2), 9) modularity from q"
+    COMMERCE + f", a as (select c_custkey, {6 * SPAN} + n_regionkey r from customer join nation on c_nationkey = n_nationkey), m as (select {SPAN} + c_custkey id, r c from a union all select {2 * SPAN} + o_orderkey, r from orders join a on o_custkey = c_custkey "
+    f"union all select {3 * SPAN} + p_partkey, {3 * SPAN} + p_partkey from part union all select {4 * SPAN} + s_suppkey, {6 * SPAN} + n_regionkey from supplier join nation on s_nationkey = n_nationkey union all select {5 * SPAN} + n_nationkey, {6 * SPAN} + n_regionkey from nation "
+    f"union all select {6 * SPAN} + r_regionkey, {6 * SPAN} + r_regionkey from region), p as (select s a, t b, w from e union all select t, s, w from e), "
+    "q as (select x.c, sum(w) k, sum(case when x.c = y.c then w else 0 end) i from p join m x on x.id = a join m y on y.id = b group by 1) "
+    "select round(sum(i / (select sum(k) from q) - (k / (select sum(k) from q)) ** 2), 6) modularity from q"
 )
 def modularity_by_region(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Modularity of the partition by region."""
-    nodes, edges = location(spark, sf_dir)
-    up = paths.reach(edges, nodes.select(F.col("id").alias("start")), 1, 2).where(F.col("node") >= 6 * SPAN)
-    c = nodes.join(up, F.col("id") == F.col("start"), "left").select(F.col("id").alias("node"), F.coalesce(up["node"], "id").alias("community"))
-    return rounded(community.modularity(edges, c), 9, "modularity")
-
-
-@query()
-def modularity_by_region_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Modularity, on the whole graph with weights, of the partition of customers with their orders, suppliers and nations by region; parts stand alone."""
     nodes, edges = commerce(spark, sf_dir)
     local = edges.where("assoc_type in ('location:in_nation', 'location:in_region')")
@@ -183,10 +170,13 @@ def modularity_by_region_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     up = up.select("start", "node")
     up = up.unionByName(placed.join(up, "start").select(F.col("_order").alias("start"), "node"))
     c = nodes.join(up, F.col("id") == F.col("start"), "left").select(F.col("id").alias("node"), F.coalesce(up["node"], "id").alias("community"))
-    return rounded(community.modularity(edges, c), 9, "modularity")
+    return rounded(community.modularity(edges, c), 6, "modularity")
 
 
-@query()
+@query(
+    COMMERCE + ", x as (select distinct s, t from e), r as (select s a, t b, 1 d from x union select r.a, x.t, d + 1 from r join x on x.s = r.b where d < 8), f as (select a, b, min(d) d from r where a <> b group by 1, 2), "
+    "g as (select a, count(*) k, sum(d) d from f group by 1) select id node, round(coalesce((k / d) * (k / ((select count(*) from n) - 1)), 0), 9) score from n left join g on a = id"
+)
 def closeness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(centrality.closeness_centrality(*commerce(spark, sf_dir)), 9, "score")
 
@@ -196,7 +186,7 @@ def betweenness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(centrality.betweenness_centrality(*commerce(spark, sf_dir)), 9, "score")
 
 
-@query()
+@query(COMMERCE + "select id node, 0.0::double score from n")
 def eigenvector(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All zero: the edges of this graph form no cycle, so sums over out-neighbours die out."""
     return rounded(centrality.eigenvector_centrality(*commerce(spark, sf_dir), tolerance=SETTLED), 9, "score")
@@ -209,17 +199,10 @@ def random_walks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    CHAIN + ", a0 as (select 0::bigint u, 0::bigint mo), "
-    + ", ".join(f"a{i} as (select u, min(mo) mo from (select * from a{i - 1} union all select t, min(c.mo) from c join a{i - 1} on s = u and c.mo >= a{i - 1}.mo group by 1) group by 1)" for i in (1, 2, 3))
-    + " select u node, mo arrival from a3 where u <> 0"
+    CHAIN.replace("with c", "with recursive c") + ", r(u, mo) using key (u) as (select 0::bigint, 0::bigint union (select t, min(c.mo) from r join c on s = r.u and c.mo >= r.mo left join recurring.r k on k.u = t where k.u is null or c.mo < k.mo group by 1)) "
+    "select u node, mo arrival from r where u <> 0"
 )
 def temporal_reachability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    start = spark.range(1).withColumnRenamed("id", "start")
-    return paths.temporal_reach(chain(spark, sf_dir), start, hops=3).select("node", "arrival")
-
-
-@query()
-def temporal_reachability_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Earliest arrivals from one user over routes of any length."""
     start = spark.range(1).withColumnRenamed("id", "start")
     return paths.temporal_reach(chain(spark, sf_dir), start, hops=None).select("node", "arrival")
@@ -245,38 +228,19 @@ def subgraph(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    CHAIN + ", e as (select s, t, round(min(greatest(0.001, 1 - w / 200)), 9) k from c group by 1, 2), "
-    "d1 as (select t, k from e where s = 0), d2 as (select e.t, min(round(d1.k + e.k, 9)) k from d1 join e on e.s = d1.t group by 1), "
-    "d3 as (select e.t, min(round(d2.k + e.k, 9)) k from d2 join e on e.s = d2.t group by 1) "
-    "select t node, round(min(k), 6) as cost from (select * from d1 union all select * from d2 union all select * from d3) where t <> 0 group by 1"
+    CHAIN.replace("with c", "with recursive c") + ", e as (select s, t, min(greatest(0.001, 1 - w / 200)) k from c group by 1, 2), "
+    "r(u, k) using key (u) as (select 0::bigint, 0.0::double union (select e.t, min(round(r.k + e.k, 9)) from r join e on e.s = r.u left join recurring.r o on o.u = e.t where o.u is null or round(r.k + e.k, 9) < o.k group by 1)) "
+    "select u node, round(k, 6) as cost from r where u <> 0"
 )
 def shortest_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cheapest paths of up to three edges from one user."""
-    start = spark.range(1).withColumnRenamed("id", "start")
-    out = paths.shortest_paths(paths.costs(chain(spark, sf_dir)), start, rounds=3)
-    return rounded(out.where("node <> 0").select("node", "cost"), 6, "cost")
-
-
-@query()
-def shortest_paths_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cheapest paths of any length from one user."""
     start = spark.range(1).withColumnRenamed("id", "start")
     out = paths.shortest_paths(paths.costs(chain(spark, sf_dir)), start, rounds=None)
     return rounded(out.where("node <> 0").select("node", "cost"), 6, "cost")
 
 
-@query(
-    CHAIN + ", e as (select s, t, min(greatest(0.001, 1 - w / 200)) k from c group by 1, 2), p as (select round(k, 6) as cost, [s, t] path from e where s = 0 and t = 1 "
-    "union all select round(a.k + b.k, 6), [0, a.t, 1] from e a join e b on a.t = b.s where a.s = 0 and b.t = 1 and a.t <> 0 and a.t <> 1) "
-    "select cost, array_to_string(path, '-') path from p order by cost, path limit 3"
-)
-def k_shortest_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = paths.k_shortest(paths.costs(chain(spark, sf_dir)), 0, 1, k=3, high=2)
-    return rounded(out.select("cost", F.array_join(F.transform("path", lambda x: x.cast("string")), "-").alias("path")), 6, "cost")
-
-
 @query()
-def k_shortest_paths_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def k_shortest_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three cheapest simple paths of any length between two users."""
     out = paths.k_shortest(paths.costs(chain(spark, sf_dir)), 0, 1, k=3, high=None)
     return rounded(out.select("cost", F.array_join(F.transform("path", lambda x: x.cast("string")), "-").alias("path")), 6, "cost")

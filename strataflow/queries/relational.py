@@ -57,9 +57,7 @@ tql("collect_sorted", relational, "FROM nation RETURN n_regionkey AS region, col
     "select n_regionkey region, array_to_string(list(n_name order by n_name), ',') as names from nation group by 1", lambda df: df.withColumn("names", F.array_join("names", ",")))
 tql("count_distinct", relational, "FROM lineitem RETURN l_returnflag AS flag, count(DISTINCT l_suppkey) AS suppliers",
     "select l_returnflag flag, count(distinct l_suppkey) suppliers from lineitem group by 1")
-tql("coalesce_case_fns", relational, 'FROM customer LEFT JOIN orders ON customer.c_custkey = orders.o_custkey WHERE customer.c_custkey < 200 RETURN customer.c_custkey AS k, coalesce(orders.o_orderstatus, "none") AS status, count(*) AS n',
-    "select c_custkey k, coalesce(o_orderstatus, 'none') status, count(*) n from customer left join orders on c_custkey = o_custkey where c_custkey < 200 group by 1, 2")
-tql("coalesce_case_fns_all", relational, 'FROM customer LEFT JOIN orders ON customer.c_custkey = orders.o_custkey RETURN customer.c_custkey AS k, coalesce(orders.o_orderstatus, "none") AS status, count(*) AS n',
+tql("coalesce_case_fns", relational, 'FROM customer LEFT JOIN orders ON customer.c_custkey = orders.o_custkey RETURN customer.c_custkey AS k, coalesce(orders.o_orderstatus, "none") AS status, count(*) AS n',
     "select c_custkey k, coalesce(o_orderstatus, 'none') status, count(*) n from customer left join orders on c_custkey = o_custkey group by 1, 2")
 tql("time_bucket_day", relational, 'FROM events RETURN time_bucket("1d", ts) AS bucket, count(*) AS n',
     "select b - b % 86400000000000 bucket, count(*) n from (select epoch_us(ts) * 1000 b from events) group by 1")

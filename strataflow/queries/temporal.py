@@ -101,26 +101,15 @@ ERRORS = (
 )
 
 
-def error_overlaps(spark: SparkSession, sf_dir: str, first: str = "true") -> DataFrame:
-    """Pairs of error states of two users that overlap in time; ``first`` is a condition on the smaller user."""
+@query(ERRORS)
+def interval_join_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of users' error states that overlap in time."""
     v = event_versions(spark, sf_dir).where("event_type = 'error'")
     side = lambda n: v.select(F.col("event_id").alias(n), F.col("user_id").alias(f"u{n}"), F.col("_valid_from").alias(f"f{n}"), F.coalesce("_valid_until", F.lit(NOW)).alias(f"t{n}"))
-    pairs = O.interval_join(side("a").where(first), side("b"), ("fa", "ta"), ("fb", "tb"), DAY)
+    pairs = O.interval_join(side("a"), side("b"), ("fa", "ta"), ("fb", "tb"), DAY)
     return pairs.where("ua < ub").select("a", "b")
 
 
-@query(ERRORS + " and a.user_id < 30")
-def interval_join_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of users' error states that overlap in time, of the first 30 users with all others."""
-    return error_overlaps(spark, sf_dir, "ua < 30")
-
-
-@query(ERRORS)
-def interval_join_errors_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of all users' error states that overlap in time."""
-    return error_overlaps(spark, sf_dir)
-
-
 @query(VERSIONS + "select user_id entity, event_type state, f since, row_number() over (partition by user_id order by f, event_id) as position, u is null is_current from v")
 def state_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = event_versions(spark, sf_dir).select("event_id", F.col("user_id").alias("entity"), F.col("event_type").alias("state"), F.col("_valid_from").alias("since"), F.col("_valid_until").alias("valid_until"))
