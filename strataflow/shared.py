@@ -56,12 +56,12 @@ def write(df: DataFrame, name: str) -> str:
     return path
 
 
-def tasks(df: DataFrame) -> int:
-    """How many tasks, and so files, a table derived from all of ``df`` is worth: PACK scan partitions each, two a core at least."""
+def tasks(df: DataFrame, pack: int = PACK) -> int:
+    """How many tasks, and so files, a table derived from all of ``df`` is worth: ``pack`` full scan partitions each, two a core at least."""
     spark = df.sparkSession
     unit = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes", "128m"))
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return max(2 * spark.sparkContext.defaultParallelism, min(-(-size // (PACK * unit)), 1 << 20))
+    return max(2 * spark.sparkContext.defaultParallelism, min(-(-size // (pack * unit)), 1 << 20))
 
 
 def cut(df: DataFrame, name: str = "step", narrow: bool = False, files: int | None = None) -> DataFrame:
