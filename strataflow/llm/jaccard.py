@@ -46,7 +46,7 @@ K = 5
 FREQUENT = 1 << 20
 LOCAL = 1 << 20
 LIST = 4096
-SHORT = 32
+SHORT = 16
 MOST_LIGHT = 12
 MOST_LISTS = (1 << 15) - 1
 SIGNATURE = 4096
