@@ -1,8 +1,8 @@
 """A corpus pipeline: five of the training-data operators, one after the other.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each stage's result as
-Parquet to the shared folder and gives it, read again, to the next. A task of a stage's last step takes several
-scan partitions, so that the next stage does not read very small files.
+Parquet to the shared folder and gives it, read again, to the next. Scan partitions that are far from full are read
+together in a stage's last step, so that the next stage does not read very small files.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from strataflow.llm.queries import TOKENIZER
 
 
 def _packed(out: DataFrame, docs: DataFrame) -> DataFrame:
-    return out.coalesce(scratch.tasks(docs))
+    return out.coalesce(scratch.tasks(docs, 1))
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
