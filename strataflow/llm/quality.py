@@ -5,6 +5,9 @@ with class weights on TRAIN_ROWS labelled rows at most (the smallest hashes of d
 time), and Platt-scaled on every fifth of them, which the fit leaves out. Scoring runs in Arrow batches, in memory bounded by
 one text, against a fixed threshold; every row is scored over its whole text.
 
+Lines and windows of a text are compared by 52 bits of a 64-bit hash: two different ones among n pass for equal with a
+probability of about n * n / 2**53, which is 5e-8 for 20,000 words.
+
 Nulls: a null text has no words. A text without words fails the base rules. Labels with a null
 doc_id or quality are left out; of repeated ones the largest counts. With no labels, or with one class only, the verdict keeps
 whatever the base rules keep. Repeated rows get a row each; extra columns are not read.
