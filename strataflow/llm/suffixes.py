@@ -612,8 +612,9 @@ def dedup(docs: DataFrame) -> DataFrame:
     narrow = docs.select(
         "doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc"), F.xxhash64(text).alias("mark"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("sha"),
     )
-    narrow = scratch.cut(narrow, "narrow")
+    narrow = scratch.cut(narrow, "narrow", files=scratch.tasks(docs))
     firsts = narrow.where(F.col("n_bytes") >= LENGTH).groupBy("sha").agg(F.min("doc").alias("first"), F.count("*").alias("_c")).where("_c > 1").select(F.col("sha").alias("_sha"), "first")
+    firsts = scratch.broadcast_if_small(scratch.cut(firsts, "firsts", narrow=True))  # else a plain join, whose skew can be split
     placed = narrow.join(firsts, F.col("sha") == F.col("_sha"), "left").withColumn("copy", F.coalesce(F.col("doc") > F.col("first"), F.lit(False)))
 
     hot = spark.sparkContext.broadcast(_shards(keyed))  # FREQUENT entries at most
