@@ -44,9 +44,9 @@ from strataflow.operators.components import components
 
 K = 5
 FREQUENT = 1 << 20
-LOCAL = 1 << 20
+LOCAL = 1 << 21
 LIST = 4096
-SHORT = 16
+SHORT = 32
 MOST_LIGHT = 12
 MOST_LISTS = (1 << 15) - 1
 SIGNATURE = 4096
