@@ -38,7 +38,7 @@ def folder(spark: SparkSession) -> str:
     return (base or f"{tempfile.gettempdir()}/strataflow-shared").rstrip("/")
 
 
-def write(df: DataFrame, name: str) -> str:
+def write(df: DataFrame, name: str, codec: str = "lz4_raw") -> str:
     """Write ``df`` as Parquet to a fresh path in the shared folder and return the path.
 
     Nothing reads the shuffle files behind it again, so they are deleted at once.
@@ -48,7 +48,7 @@ def write(df: DataFrame, name: str) -> str:
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.option("compression", "lz4_raw").parquet(path)
+        df.write.option("compression", codec).parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
     if _open():
@@ -64,14 +64,15 @@ def tasks(df: DataFrame, pack: int = PACK) -> int:
     return max(2 * spark.sparkContext.defaultParallelism, min(-(-size // (pack * unit)), 1 << 20))
 
 
-def cut(df: DataFrame, name: str = "step", narrow: bool = False, files: int | None = None) -> DataFrame:
+def cut(df: DataFrame, name: str = "step", narrow: bool = False, files: int | None = None, codec: str = "lz4_raw") -> DataFrame:
     """The same rows, read back from a written table of at most ``files`` files.
 
     ``narrow``: the rows are far fewer and smaller than the input; they go to one file a core at most.
+    ``codec``: zstd makes large tables of texts smaller, at the price of time.
     """
     spark = df.sparkSession
     files = spark.sparkContext.defaultParallelism if narrow else files
-    path = write(df if files is None else df.coalesce(max(1, files)), name)
+    path = write(df if files is None else df.coalesce(max(1, files)), name, codec)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_to = path
     return out
