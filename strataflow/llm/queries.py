@@ -27,10 +27,10 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_media_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    stored = scratch.cut(media.store(docs.select(media.payload(F.col("text")).alias("payload"))), "media")
+    stored = scratch.cut(media.store(docs.select(media.payload(F.col("text")).alias("payload"))), "media", codec="zstd")
     elements = media.interleave(media.documents_as_pages(docs), "doc_id")
     # the result has digests of the texts, so these alone are written and shuffled
-    elements = scratch.cut(elements.withColumn("text", F.sha2("text", 256)), "elements")
+    elements = scratch.cut(elements.withColumn("text", F.sha2("text", 256)), "elements", codec="zstd")
     pages = media.sequences(media.resolve(elements, media.read_back(stored)), "doc_id")
     kind = lambda k: F.filter("elements", lambda e: e["kind"] == k)
     named = ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
