@@ -81,3 +81,9 @@ def test_stages_call_the_operators(monkeypatch, spark, table):
 def test_empty_table(spark, tmp_path):
     util.documents(spark, []).write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_near_duplicates_of_very_many_sizes(spark):
+    """The stage reads its own written tables by set sizes, whose dictionary is larger than 8 KB."""
+    found = corpus_pipeline.near_duplicates(spark, util.of_every_size(spark), "")
+    assert sorted(r.doc_id for r in found.select("doc_id").collect()) == list(range(1100))

@@ -61,3 +61,13 @@ def jaccard_components(rows):
                 x, y = find(a), find(b)
                 parent[max(x, y)] = min(x, y)
     return {i: (len(sets[i]), find(i)) for i in sets}
+
+
+def of_every_size(spark, most=1100):
+    """Two copies each of texts of 5 to most + 4 words, in one partition; (doc_id, shingles, least doc_id) is known.
+
+    A written table of such sizes has a dictionary of more than 8 KB.
+    """
+    return spark.range(0, 2 * most, 1, 1).selectExpr(
+        "id as doc_id", f"concat_ws(' ', transform(sequence(0, id % {most} + 4), j -> concat('w', id % {most}, '_', j))) as text", "'en' as lang", "'a' as source", "0L as n_chars"
+    )
