@@ -79,3 +79,9 @@ def test_bitmap_has_no_false_negatives(spark):
     bits = bitmap.build(spark.createDataFrame([(i,) for i in ids], "doc long"), "doc")
     assert bitmap.contains(bits, np.array(ids)).all()
     assert bitmap.contains(bits, np.arange(10**6, 10**6 + 5000)).mean() < 0.1
+
+
+def test_sets_of_very_many_sizes(spark):
+    """Comparisons with sizes are pushed down to a written table, whose dictionary of sizes is larger than 8 KB."""
+    found = {tuple(r) for r in jaccard.jaccard_components(util.of_every_size(spark)).select("doc_id", "n_shingles", "component_id").collect()}
+    assert found == {(i, i % 1100 + 1, i % 1100) for i in range(2200)}
