@@ -147,3 +147,12 @@ def test_merging_by_binary_search():
     assert len(merged.add(key("a", "c"), np.array([[5, 0, 1], [5, 0, 2]]))) == 0
     later = merged.add(key("b", "c"), np.array([[4, 0, 9], [3, 0, 7]]))
     assert later.tolist() == [[5, 0, 2]] and [k[:1] for k in merged.keys.tolist()] == [b"a", b"b", b"c"]
+
+
+def test_texts_of_very_many_lengths(spark):
+    """Comparisons with lengths are pushed down to a written table, whose dictionary of lengths is larger than 8 KB."""
+    text = "".join(random.Random(4).choice("abcdefgh ") for _ in range(1200))
+    rows = [(i, text[: i % 1100 + 100], "en", "a") for i in range(2200)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").coalesce(1)
+    got = suffixes.dedup(docs).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == brute(rows) and len(got) == len(rows)
