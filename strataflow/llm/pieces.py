@@ -38,6 +38,7 @@ from strataflow.llm import scratch
 SPACE = "▁"
 CACHE_WORDS = 150_000
 LONG, BLOCK, LAP = 2048, 768, 128
+MEMO = 18  # bits of the number of remembered pairs, 2 MB
 _WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 U64 = np.uint64
 _BASE = U64(0x9E3779B97F4A7C15)
@@ -153,6 +154,7 @@ class Codec:
         pairs = {ids[p[:k]] * n + ids[p[k:]]: ranks[p] for p in ranks for k in range(1, len(p)) if p[:k] in ids and p[k:] in ids}
         self.pairs = Table(np.array(list(pairs), dtype=U64) * _BASE, np.array(list(pairs.values()), dtype=np.int64))
         self.size = n
+        self.memo = np.full(1 << MEMO, -1, dtype=np.int64)
         return made
 
     def unmerged(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -178,6 +180,18 @@ class Codec:
             live, a, b, limit = live[keep], a[keep], b[keep], limit[keep]
         return out
 
+    def apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """unmerged(a, b), by a table of MEMO slots for the pairs met lately; words have few different ones."""
+        pair = a * self.size + b
+        slot = (pair.astype(U64) * _BASE >> U64(64 - MEMO)).astype(np.int64)
+        known = self.memo[slot]
+        out = (known & 1).astype(bool)
+        new = np.flatnonzero(known >> 1 != pair)
+        if len(new):
+            out[new] = self.unmerged(a[new], b[new])
+            self.memo[slot[new]] = pair[new] << 1 | out[new]
+        return out
+
     def _best(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pieces (last first, -1 padded) of words of one length, one row each; and their number."""
         n, size = codes.shape
@@ -193,16 +207,19 @@ class Codec:
                 h = _extend(h, codes[:, end - 1 - k])
                 h ^= h >> U64(29)
                 hashes[k] = h
-            piece = self.table.get(hashes.ravel()).reshape(width, n)
-            lone = np.flatnonzero(piece[0] < 0)
-            k, row = np.nonzero(piece >= 0)
-            start, found = end - 1 - k, piece[k, row]
-            ok = total[start, row] > -np.inf
+            # only substrings that begin where a path ends are looked up
+            open_ = np.flatnonzero((total[end - width : end][::-1] > -np.inf).ravel())
+            piece = self.table.get(hashes.ravel()[open_])
+            hit = piece >= 0
+            lone = open_[~hit & (open_ < n)]
+            k, row = np.divmod(open_[hit], n)
+            start, found = end - 1 - k, piece[hit]
             if self.model["bpe"]:
                 before = np.where(start > 0, last[start, row], -1)
-                test = np.flatnonzero(ok & (before >= 0))
-                ok[test] = self.unmerged(before[test], found[test])
-            k, row, start, found = k[ok], row[ok], start[ok], found[ok]
+                ok = np.ones(len(row), dtype=bool)
+                test = np.flatnonzero(before >= 0)
+                ok[test] = self.apart(before[test], found[test])
+                k, row, start, found = k[ok], row[ok], start[ok], found[ok]
             gain = total[start, row] + (k + 1 if self.model["bpe"] else self.score[found])
             total[end, lone] = total[end - 1, lone] + self.floor
             last[end, lone], back[end, lone] = -1 - codes[lone, end - 1], 1

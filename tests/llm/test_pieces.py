@@ -111,3 +111,16 @@ def test_spark_columns_and_query(spark, library, tmp_path):
         assert r.n_pieces == len(ids) and r.ids_sha256 == hashlib.sha256(np.array(ids, "<i4").tobytes()).hexdigest()
         assert r.round_trip == ("▁" not in texts[r.doc_id])
     assert pieces.digests(util.documents(spark, []), TOKENIZER).collect() == []
+
+
+def test_pairs_are_remembered(monkeypatch):
+    """Few transitions that were met before are tested again, and the answers are those of the merging itself."""
+    codec = pieces.Codec(pieces.load(TOKENIZER))
+    words = [f"{pieces.SPACE}{a}{b}" for a in ("remember", "transit", "under", "Ein") for b in ("ing", "ion", "stand", "heit", "")]
+    tested, unmerged = [], codec.unmerged
+    monkeypatch.setattr(codec, "unmerged", lambda a, b: tested.append(len(a)) or unmerged(a, b))
+    first, once = codec.encode_words(words), sum(tested)
+    assert codec.encode_words(words) == first and 10 * (sum(tested) - once) <= once
+    rng = np.random.default_rng(2)
+    a, b = rng.integers(0, codec.size, (2, 5000))
+    assert (codec.apart(a, b) == unmerged(a, b)).all() and (codec.apart(a, b) == unmerged(a, b)).all()
