@@ -17,8 +17,16 @@ BATCH_ROWS, BATCH_BYTES = 512, 1 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Texts are long: let an Arrow batch hold BATCH_ROWS rows and BATCH_BYTES at most (or one text), whatever the session allows for numbers."""
-    for key, most, default in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS, "10000"), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES, "64MB")):
+    """Texts are long: let an Arrow batch hold BATCH_ROWS rows and BATCH_BYTES at most (or one text), whatever the session allows for numbers.
+
+    The Parquet reader's batches, by rows only, lie on each task's heap; its arrays of bytes double as they grow and are kept.
+    """
+    limits = (
+        ("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS, "10000"),
+        ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES, "64MB"),
+        ("spark.sql.parquet.columnarReaderBatchSize", BATCH_ROWS, "4096"),
+    )
+    for key, most, default in limits:
         now = spark.conf.get(key, default)
         if not (now.isdigit() and 0 < int(now) <= most):
             spark.conf.set(key, str(most))

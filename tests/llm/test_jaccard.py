@@ -2,8 +2,10 @@ import random
 from math import comb
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
+from strataflow import shared
 from strataflow.llm import bitmap, jaccard
 from tests.llm import util
 
@@ -85,3 +87,15 @@ def test_sets_of_very_many_sizes(spark):
     """Comparisons with sizes are pushed down to a written table, whose dictionary of sizes is larger than 8 KB."""
     found = {tuple(r) for r in jaccard.jaccard_components(util.of_every_size(spark)).select("doc_id", "n_shingles", "component_id").collect()}
     assert found == {(i, i % 1100 + 1, i % 1100) for i in range(2200)}
+
+
+def test_reads_and_writes_in_small_pieces(spark):
+    """On a heap of 1 GB, eight tasks' batches of 4,096 long texts ended the job, beside writers' row groups of 128 MB."""
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", "4096")
+    check(spark, util.edge_rows(n=20))
+    assert int(spark.conf.get("spark.sql.parquet.columnarReaderBatchSize")) <= 512
+    wide = shared.cut(spark.range(0, 6_000_000, 1, 1).selectExpr("xxhash64(id) as x"), "wide")  # 48 MB in one task
+    parts = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in wide.inputFiles()]
+    groups = [m.row_group(i).total_byte_size for m in parts for i in range(m.num_row_groups)]
+    assert sum(groups) > 40 << 20 and max(groups) <= 20 << 20
+    assert wide.count() == 6_000_000
