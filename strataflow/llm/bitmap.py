@@ -11,13 +11,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MOST_BITS = 26
+FEW_BITS = 21  # up to here (256 KB) an id gets 1,024 bits in place of 64, so that few ids let hardly any other row through
 BUCKET = 1 << 15  # bits of one bitmap value
 
 
 def build(ids: DataFrame, column: str) -> np.ndarray:
     """Bits of all values of a BIGINT column, as a boolean array of a power of two."""
     n = ids.agg(F.approx_count_distinct(column)).first()[0]
-    bits = max(15, min(MOST_BITS, int(64 * max(n, 1)).bit_length()))
+    bits = max(15, min(FEW_BITS, int(1024 * max(n, 1)).bit_length()), min(MOST_BITS, int(64 * max(n, 1)).bit_length()))
     at = F.pmod(_hash(F.col(column)), F.lit(1 << bits))
     parts = ids.groupBy(F.floor(at / BUCKET).cast("int").alias("b")).agg(F.bitmap_construct_agg(F.pmod(at, F.lit(BUCKET))).alias("bits"))
     out = np.zeros((1 << bits) // 8, dtype=np.uint8)

@@ -355,6 +355,15 @@ def _again(docs: DataFrame, members: DataFrame, known: tuple[np.ndarray, np.ndar
     return _meetings(rows.join(counts.where(F.col("_c") <= SHORT), "h").drop("_c")).unionByName(_across(docs, scratch.cut(left, "members", narrow=True)))
 
 
+def _one_of_equals(members: DataFrame, own: DataFrame) -> DataFrame:
+    """Those of the documents (doc, component) that are left when one of those with equal sets is enough.
+
+    Every task posts a set anew, so lists hold copies; they link, and are in one component.
+    """
+    sets = own.join(scratch.broadcast_if_small(members), F.col("doc_id") == F.col("doc")).groupBy("n", "k1", "k2")
+    return scratch.cut(sets.agg(F.min(F.struct("doc", "component")).alias("m")).select("m.*").distinct(), "members", narrow=True)
+
+
 @scratch.tidy
 def links_and_sizes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n_shingles) of every row, and (node, component) of every linked document."""
@@ -406,7 +415,7 @@ def links_and_sizes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     # two documents of one list meet in a short list, or are both among those of long ones, which are joined again
     short = still.join(counts.where(F.col("_c") <= SHORT), "h").drop("_c")
     long = counts.where(F.col("_c") > SHORT)
-    members = scratch.cut(still.join(long, "h").select("doc", "component").distinct(), "members", narrow=True)
+    members = _one_of_equals(scratch.cut(still.join(long, "h").select("doc", "component").distinct(), "listed", narrow=True), own)
     rest = _meetings(short).unionByName(_again(docs, members, known, long)).distinct()
     tried = stars.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     rest = scratch.cut(rest.join(tried, ["u", "v"], "left_anti"), "rest", narrow=True)

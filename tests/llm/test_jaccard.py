@@ -1,4 +1,5 @@
 import random
+from itertools import combinations
 from math import comb
 
 import numpy as np
@@ -99,3 +100,27 @@ def test_reads_and_writes_in_small_pieces(spark):
     groups = [m.row_group(i).total_byte_size for m in parts for i in range(m.num_row_groups)]
     assert sum(groups) > 40 << 20 and max(groups) <= 20 << 20
     assert wide.count() == 6_000_000
+
+
+def test_a_bitmap_of_few_ids_lets_few_others_through(spark):
+    bits = bitmap.build(spark.range(0, 10**6, 1000), "id")
+    others = np.setdiff1d(np.arange(10**6), np.arange(0, 10**6, 1000))
+    assert bitmap.contains(bits, others).mean() < 0.002 and bits.nbytes <= 1 << 18
+
+
+def test_long_lists_are_joined_again_without_copies(spark, monkeypatch):
+    rng = random.Random(3)
+    passages = [" ".join(rng.choice("abcdefghijkl") + str(rng.randrange(1000)) for _ in range(20)) for _ in range(6)]
+    texts = [" ".join(passages[j] for j in three) for three in combinations(range(6), 3)]
+    rows = [(i, texts[i % len(texts)], "en", "a") for i in range(5 * len(texts))]
+    given = []
+
+    def noted(docs, members, known, long):
+        given.extend(r.doc for r in members.collect())
+        return again(docs, members, known, long)
+
+    again = jaccard._again
+    monkeypatch.setattr(jaccard, "_again", noted)
+    monkeypatch.setattr(jaccard, "SHORT", 1)
+    check(spark, rows)
+    assert len(given) > 10 and len({rows[i][1] for i in given}) == len(given)
