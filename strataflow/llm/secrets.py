@@ -84,10 +84,12 @@ def spans(text: Column, pattern: str, kind: str, keep=None) -> Column:
 
 def normal_tail(z: Column) -> Column:
     """P(|Z| > z) by a rational approximation with an error below 2e-7."""
-    x = F.abs(z) / F.lit(2.0**0.5)
-    t = F.lit(1.0) / (F.lit(1.0) + F.lit(0.3275911) * x)
-    poly = t * (F.lit(0.254829592) + t * (F.lit(-0.284496736) + t * (F.lit(1.421413741) + t * (F.lit(-1.453152027) + t * F.lit(1.061405429)))))
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), poly * F.exp(-x * x)))
+
+    def tail(x: Column, t: Column) -> Column:
+        poly = t * (F.lit(0.254829592) + t * (F.lit(-0.284496736) + t * (F.lit(1.421413741) + t * (F.lit(-1.453152027) + t * F.lit(1.061405429)))))
+        return F.greatest(F.lit(0.0), F.least(F.lit(1.0), poly * F.exp(-x * x)))
+
+    return _let(F.abs(z) / F.lit(2.0**0.5), lambda x: _let(F.lit(1.0) / (F.lit(1.0) + F.lit(0.3275911) * x), lambda t: tail(x, t)))
 
 
 def _encoding(body: Column) -> Column:
@@ -103,26 +105,36 @@ def _encoding(body: Column) -> Column:
 
 
 def _p_value(codes: Column, k: Column) -> Column:
-    """Combined p-value of the three tests, for an array of codes from 0 to k - 1."""
-    n = F.size(codes).cast("double")
+    """Combined p-value of the three tests, for an array of codes from 0 to k - 1.
+
+    Values that a formula uses twice are named, else the plan holds, and computes, a copy for each use.
+    """
     total = lambda a, f: F.aggregate(a, F.lit(0.0), lambda s, x: s + f(x))
-    counts = F.transform(F.array_distinct(codes), lambda c: F.size(F.filter(codes, lambda x: x == c)).cast("double"))
-    chi = total(counts, lambda c: c * c) * k / n - n
-    v = F.lit(2.0) / (F.lit(9.0) * (k - 1))
-    z_chi = (F.pow(F.greatest(chi, F.lit(0.0)) / (k - 1), F.lit(1.0 / 3)) - (1 - v)) / F.sqrt(v)
-    p_chi = F.when(z_chi > 0, normal_tail(z_chi) / 2).otherwise(1 - normal_tail(z_chi) / 2)
-    pairs = F.zip_with(F.slice(codes, F.lit(1), F.size(codes) - 1), F.slice(codes, F.lit(2), F.size(codes) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    above = total(codes, lambda c: F.when(c * 2 >= k, 1.0).otherwise(0.0))
-    below = n - above
-    runs = 1 + total(pairs, lambda x: F.when((x["a"] * 2 >= k) == (x["b"] * 2 >= k), 0.0).otherwise(1.0))
-    expected = 2 * above * below / n + 1
-    spread = (expected - 1) * (expected - 2) / (n - 1)
-    p_runs = F.when(spread > 0, normal_tail((runs - expected) / F.sqrt(spread))).otherwise(F.lit(0.0))
-    mean = (k - 1) / 2
-    serial = total(pairs, lambda x: (x["a"] - mean) * (x["b"] - mean))
-    variance = (k * k - 1) / 12
-    p_serial = normal_tail(serial / (variance * F.sqrt(n - 1)))
-    return F.least(F.lit(1.0), F.lit(3.0) * F.least(p_chi, p_runs, p_serial))
+
+    def chi_squared(n: Column, k: Column) -> Column:
+        counts = F.transform(F.array_distinct(codes), lambda c: F.size(F.filter(codes, lambda x: x == c)).cast("double"))
+        chi = total(counts, lambda c: c * c) * k / n - n
+        v = F.lit(2.0) / (F.lit(9.0) * (k - 1))
+        z_chi = (F.pow(F.greatest(chi, F.lit(0.0)) / (k - 1), F.lit(1.0 / 3)) - (1 - v)) / F.sqrt(v)
+        return _let(z_chi, lambda z: _let(normal_tail(z) / 2, lambda half: F.when(z > 0, half).otherwise(1 - half)))
+
+    def runs_test(n: Column, k: Column, pairs: Column) -> Column:
+        runs = 1 + total(pairs, lambda x: F.when((x["a"] * 2 >= k) == (x["b"] * 2 >= k), 0.0).otherwise(1.0))
+        spread = lambda expected: (expected - 1) * (expected - 2) / (n - 1)
+        p = lambda expected: _let(spread(expected), lambda s: F.when(s > 0, normal_tail((runs - expected) / F.sqrt(s))).otherwise(F.lit(0.0)))
+        return _let(total(codes, lambda c: F.when(c * 2 >= k, 1.0).otherwise(0.0)), lambda above: _let(2 * above * (n - above) / n + 1, p))
+
+    def serial_test(n: Column, k: Column, pairs: Column) -> Column:
+        mean = (k - 1) / 2
+        variance = (k * k - 1) / 12
+        return normal_tail(total(pairs, lambda x: (x["a"] - mean) * (x["b"] - mean)) / (variance * F.sqrt(n - 1)))
+
+    def combined(n: Column, k: Column) -> Column:
+        pairs = F.zip_with(F.slice(codes, F.lit(1), F.size(codes) - 1), F.slice(codes, F.lit(2), F.size(codes) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+        least = _let(pairs, lambda both: F.least(chi_squared(n, k), runs_test(n, k, both), serial_test(n, k, both)))
+        return F.least(F.lit(1.0), F.lit(3.0) * least)
+
+    return _let(F.size(codes).cast("double"), lambda n: _let(k, lambda k: combined(n, k)))
 
 
 def randomness(value: Column) -> Column:

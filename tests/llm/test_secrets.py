@@ -100,3 +100,9 @@ def test_query_digest(spark, tmp_path):
         assert r.base_sha256 == hashlib.sha256(",".join(spans).encode()).hexdigest()
         assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(s.startswith(k) for s in spans) for k in ("assign", "access", "hex"))
         assert set(spans) <= set(r.spans.split(",")) or not spans
+
+
+def test_plan_holds_no_copies_of_its_formulas(spark):
+    """The driver's memory grew with a plan of 350,000 characters, in which each use of a value was a copy of its formula."""
+    out = secrets.redact_documents(util.documents(spark, util.edge_rows(n=20)))
+    assert len(out._jdf.queryExecution().optimizedPlan().treeString()) < 100_000
