@@ -13,23 +13,27 @@ from pyspark.sql import SparkSession
 from strataflow.shared import broadcast_if_small, cut, folder, remove, tasks, tidy, write
 
 __all__ = ["bounded_batches", "broadcast_if_small", "cut", "folder", "lean", "remove", "tasks", "tidy", "write"]
-BATCH_ROWS, BATCH_BYTES = 512, 1 << 20
+BATCH_ROWS, BATCH_BYTES, READ_BYTES = 512, 1 << 20, 1 << 18
 
 
 def bounded_batches(spark: SparkSession) -> None:
     """Texts are long: let an Arrow batch hold BATCH_ROWS rows and BATCH_BYTES at most (or one text), whatever the session allows for numbers.
 
-    The Parquet reader's batches, by rows only, lie on each task's heap; its arrays of bytes double as they grow and are kept.
+    The Parquet reader takes its columns in pieces of READ_BYTES and its batches, by rows only, beside the heap, as their arrays of bytes double
+    as they grow and are kept. A row group's texts in one array, as vectored reads want it, need free heap in a row, which Spark's pages break up.
     """
     limits = (
         ("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS, "10000"),
         ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES, "64MB"),
         ("spark.sql.parquet.columnarReaderBatchSize", BATCH_ROWS, "4096"),
+        ("parquet.read.allocation.size", READ_BYTES, "8388608"),
     )
     for key, most, default in limits:
         now = spark.conf.get(key, default)
         if not (now.isdigit() and 0 < int(now) <= most):
             spark.conf.set(key, str(most))
+    spark.conf.set("parquet.hadoop.vectored.io.enabled", "false")
+    spark.conf.set("spark.sql.columnVector.offheap.enabled", "true")
 
 
 def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:

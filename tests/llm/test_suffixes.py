@@ -165,3 +165,16 @@ def test_texts_are_read_in_small_batches(spark):
     got = suffixes.dedup(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")).collect()
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == brute(rows)
     assert int(spark.conf.get("spark.sql.parquet.columnarReaderBatchSize")) <= 512
+
+
+def test_row_groups_are_read_in_small_pieces(spark):
+    """A row group's texts in one array of 12 to 20 MB found no free heap in a row on a heap of 1 GB, and ended the job."""
+    keys = ("parquet.read.allocation.size", "parquet.hadoop.vectored.io.enabled", "spark.sql.columnVector.offheap.enabled")
+    for key in keys:
+        spark.conf.unset(key)
+    rows = [(1, "x" * 200, "en", "a"), (2, "x" * 200, "en", "a")]
+    got = suffixes.dedup(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == brute(rows)
+    reader = spark._jsparkSession.sessionState().newHadoopConf()  # what the Parquet reader gets
+    pieces, vectored, beside = (reader.get(key) for key in keys)
+    assert pieces is not None and int(pieces) <= 1 << 18 and vectored == "false" and beside == "true"
