@@ -41,3 +41,27 @@ def test_closeness_writes_no_pairs(spark, written):
         r, d = len(depth) - 1, sum(depth.values())
         assert found[s] == pytest.approx(r / d * r / (len(ids) - 1) if r else 0, abs=1e-12)
     assert sum(map(sum, written.values())) < 2000
+
+
+def test_pagerank_without_cycles_settles_in_the_depth_of_the_graph(spark, written):
+    """Before, what dangling nodes give back kept the rounds going until 0.85 ** rounds was small."""
+    edges = spark.createDataFrame([(0, 1), (0, 2), (1, 3), (2, 3), (3, 4), (4, 5), (0, 5)], "source long, target long")
+    out = {0: [1, 2, 5], 1: [3], 2: [3], 3: [4], 4: [5], 5: [], 6: []}
+    for start in (None, 0):
+        written.clear()
+        base = {i: 1 / 7 if start is None else float(i == start) for i in out}
+        r = dict(base)
+        for _ in range(300):
+            lost = sum(r[i] for i in out if not out[i])
+            r = {i: 0.15 * base[i] + 0.85 * (lost * base[i] + sum(r[a] / len(out[a]) for a in out if i in out[a])) for i in out}
+        restart = None if start is None else spark.createDataFrame([(start,)], "id long")
+        found = {x.node: x.score for x in centrality.pagerank(spark.range(7), edges, tolerance=1e-9, restart=restart).collect()}
+        assert found == {i: pytest.approx(v, abs=1e-12) for i, v in r.items()}
+        assert len(written["rank"]) <= 7
+
+
+def test_eigenvector_rounds_hold_scored_nodes_only(spark, written):
+    edges = spark.createDataFrame([(i, 100 + i) for i in range(50)] + [(100, 200)], "source long, target long")
+    nodes = spark.createDataFrame([(i,) for i in [*range(50), *range(100, 150), 200]], "id long")
+    assert {r.score for r in centrality.eigenvector_centrality(nodes, edges, tolerance=1e-9).collect()} == {0.0}
+    assert written["eigen"] == [101, 51, 1, 0]
