@@ -65,3 +65,51 @@ def test_eigenvector_rounds_hold_scored_nodes_only(spark, written):
     nodes = spark.createDataFrame([(i,) for i in [*range(50), *range(100, 150), 200]], "id long")
     assert {r.score for r in centrality.eigenvector_centrality(nodes, edges, tolerance=1e-9).collect()} == {0.0}
     assert written["eigen"] == [101, 51, 1, 0]
+
+
+def test_triangles_move_as_arrays(spark, written):
+    """A clique of 12: 220 wedges would be rows; its arrays are 11."""
+    pairs = [(a, b) for a in range(12) for b in range(a)]
+    found = {r.node: (r.triangles, r.degree) for r in centrality.clustering(spark.createDataFrame(pairs, "source long, target long")).collect()}
+    assert found == dict.fromkeys(range(12), (55, 11)) and written["out"] == [11]
+
+
+def test_arrivals_by_slices_of_time(spark, written, monkeypatch):
+    """Two starts, edges of equal times in any order, slices of a few edges; no arrival is written twice."""
+    monkeypatch.setattr(paths, "SLICE", 12)
+    rng = random.Random(5)
+    edges = [(rng.randrange(15), rng.randrange(15), rng.randrange(12)) for _ in range(40)]
+    expected = {}
+    for start in (0, 7):
+        best, changed = {start: 0}, True
+        while changed:
+            changed = False
+            for a, b, t in edges:
+                if a in best and t >= best[a] and t < best.get(b, 99):
+                    best[b], changed = t, True
+        expected |= {(start, v): t for v, t in best.items() if v != start}
+    e = spark.createDataFrame(edges, "source long, target long, created_at long").repartition(3)
+    rows = paths.earliest_arrivals(e, spark.createDataFrame([(0,), (7,)], "start long")).collect()
+    assert len(rows) == len(expected) and {(r.start, r.node): r.arrival for r in rows} == expected and len(written["arrivals"]) > 3
+
+
+def test_batches_of_a_stream_do_not_grow(spark, monkeypatch):
+    from strataflow.queries import records
+    from strataflow.streaming import events
+
+    monkeypatch.setattr(records, "STEP", 16)
+    rows, files = [("d", i, [i - 1] if i else []) for i in range(50)], []
+    read = events.read_events
+    monkeypatch.setattr(events, "read_events", lambda s, path, *a: files.extend(r[1] for r in s.read.parquet(path).groupBy(F.input_file_name()).count().collect()) or read(s, path, *a))
+    found = records._run(spark, spark.createDataFrame(rows, "domain string, event_id long, parents array<long>"), events.causally_ordered, parts=2, at="event_id").collect()
+    assert sorted(r.event_id for r in found) == list(range(50)) and max(files) <= 16 and sum(files) == 50
+
+
+def test_labels_settle_and_moves_alone_are_written(spark, written):
+    from strataflow.operators import community
+
+    pairs = [(a, b, 1.0) for g in (range(4), range(4, 8)) for a in g for b in g if a < b]
+    found = community.label_propagation(spark.range(8), spark.createDataFrame(pairs, "source long, target long, weight double"))
+    labels = {r.node: r.community for r in found.collect()}
+    assert len(labels) == 8 and all(len({labels[i] for i in g}) == 1 for g in (range(4), range(4, 8)))
+    assert written["moves"][-3:] == [0, 0, 0] and all(n <= 8 for n in written["moves"])
